@@ -50,7 +50,8 @@ def min_max_weights(purchases: DataFrame) -> DataFrame:
     counts = save(purchase_counts(purchases), "counts")
     scaled = counts.join(column_bounds(counts), "prod_name")
     cnt, low, high = (F.col(c).cast("double") for c in ("cnt", "low", "high"))
-    return scaled.select("cont_id", "prod_name", min_max(cnt, low, high).alias("weight"))
+    weights = scaled.select("cont_id", "prod_name", min_max(cnt, low, high).alias("weight"))
+    return save(weights, "weights")
 
 
 def quantity_weights(purchases: DataFrame, weight: str = "count_sq") -> DataFrame:

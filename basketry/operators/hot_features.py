@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketry.operators.neighbors import Problem, distance, rare_dots, top_candidates
+from basketry.operators.neighbors import Problem, distance, gap_of, rare_dots, top_candidates
 from basketry.operators.positions import with_position
 from basketry.storage import save
 
@@ -62,9 +62,10 @@ def _rare_pairs(problem, hot, base_hot, query_hot, tasks):
     base = rare(problem.base, base_hot)
     queries = base if problem.symmetric else rare(problem.queries, query_hot)
     dots = save(
-        rare_dots(queries, base, tasks, problem.symmetric, "hot_norm").select(
-            "q", "n", "dot",
-            ((F.col("q_sq") + F.col("n_sq")) / 2 - F.col("dot")).alias("gap"),
+        rare_dots(problem, queries, base, tasks, "hot_norm").select(
+            "q",
+            "n",
+            gap_of(problem.metric).alias("gap"),
             (F.col("q_hot_norm") * F.col("n_hot_norm")).alias("room"),
         ),
         "rare_pairs",

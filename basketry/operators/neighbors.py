@@ -29,7 +29,7 @@ from basketry.functions import grid
 from basketry.storage import save
 
 HOT_DEGREE = 512
-_PAIRS_PER_TASK = 4_000_000
+_PAIRS_PER_TASK = 1_000_000
 # Removes summation noise below the square root, where it would otherwise grow.
 _GAP_DIGITS = 12
 
@@ -82,7 +82,9 @@ def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, featu
     tasks = max(1, -(-int(facts.work or 0) // _PAIRS_PER_TASK))
 
     if (facts.top or 0) <= hot_degree:
-        candidates = _gaps(rare_dots(problem.queries, problem.base, tasks, problem.symmetric))
+        candidates = _gaps(
+            rare_dots(problem, problem.queries, problem.base, tasks), problem.metric
+        )
     else:
         hot = save(
             degrees.filter(F.col("degree") > hot_degree)
@@ -149,53 +151,62 @@ def _degrees(problem: Problem) -> DataFrame:
     )
 
 
-def rare_dots(queries: DataFrame, base: DataFrame, tasks: int, symmetric: bool, *extra) -> DataFrame:
-    """Dot products over rare features: q, n, dot, and the two squared norms.
+def rare_dots(problem: Problem, queries: DataFrame, base: DataFrame, tasks: int, *extra) -> DataFrame:
+    """Dot products over rare features: q, n, dot, and per vector the columns named by ``extra``.
 
     ``tasks`` spreads the join by its output, which is known, and not by its much smaller input.
-    ``extra`` names per-vector columns to carry along; they come out as q_<name> and n_<name>.
+    Euclidean distances also need the squared norms; unit vectors do not carry them.
     """
-    carried = ["sq", *extra]
+    carried = [*extra] if problem.metric == "cosine" else ["sq", *extra]
 
     def side(rows, idx):
-        return rows.select(
-            "feature", F.col("idx").alias(idx), F.col("w").alias(f"{idx}_w"),
-            *[F.col(c).alias(f"{idx}_{c}") for c in carried],
-        ).repartition(tasks, "feature") if tasks > 1 else rows.select(
-            "feature", F.col("idx").alias(idx), F.col("w").alias(f"{idx}_w"),
+        named = rows.select(
+            "feature",
+            F.col("idx").alias(idx),
+            F.col("w").alias(f"{idx}_w"),
             *[F.col(c).alias(f"{idx}_{c}") for c in carried],
         )
+        return named.repartition(tasks, "feature") if tasks > 1 else named
 
     pairs = side(queries, "q").join(side(base, "n"), "feature")
-    if symmetric:
+    if problem.symmetric:
         pairs = pairs.filter(F.col("q") <= F.col("n"))
-    both = [f"{s}_{c}" for c in carried for s in ("q", "n")]
     dots = pairs.groupBy("q", "n").agg(
         F.sum(F.col("q_w") * F.col("n_w")).alias("dot"),
-        *[F.max(c).alias(c) for c in both],
+        *[F.max(f"{s}_{c}").alias(f"{s}_{c}") for c in carried for s in ("q", "n")],
     )
-    if not symmetric:
-        return dots
+    return _both_ends(dots, carried) if problem.symmetric else dots
+
+
+def _both_ends(dots: DataFrame, carried) -> DataFrame:
+    """Each unordered pair was computed once; list it from both ends."""
 
     def row(first, second):
         return F.struct(
-            F.col(first).alias("q"), F.col(second).alias("n"), F.col("dot"),
+            F.col(first).alias("q"),
+            F.col(second).alias("n"),
+            F.col("dot"),
             *[
-                F.col(f"{s}_{c}").alias(f"{t}_{c}")
+                F.col(f"{own}_{c}").alias(f"{end}_{c}")
                 for c in carried
-                for s, t in ((first, "q"), (second, "n"))
+                for own, end in ((first, "q"), (second, "n"))
             ],
         )
 
-    # Each unordered pair was computed once; write it down from both ends.
-    ends = F.when(F.col("q") == F.col("n"), F.array(row("q", "n"))).otherwise(
-        F.array(row("q", "n"), row("n", "q"))
-    )
-    return dots.select(F.inline(ends))
+    same = F.col("q") == F.col("n")
+    rows = F.when(same, F.array(row("q", "n"))).otherwise(F.array(row("q", "n"), row("n", "q")))
+    return dots.select(F.inline(rows))
+
+
+def gap_of(metric: str):
+    """Gap of a pair table row from its dot product and, where needed, its squared norms."""
+    if metric == "cosine":
+        return 1.0 - F.col("dot")
+    return (F.col("q_sq") + F.col("n_sq")) / 2 - F.col("dot")
 
 
-def _gaps(dots: DataFrame) -> DataFrame:
-    return dots.select("q", "n", ((F.col("q_sq") + F.col("n_sq")) / 2 - F.col("dot")).alias("gap"))
+def _gaps(dots: DataFrame, metric: str) -> DataFrame:
+    return dots.select("q", "n", gap_of(metric).alias("gap"))
 
 
 def _smallest_norms(problem: Problem) -> DataFrame:
