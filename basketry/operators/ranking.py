@@ -36,29 +36,35 @@ def first_per_group(
     )
 
 
-def first_rows_per_category(
-    recommended: DataFrame, n: int = 3, sort_by_category: bool = True
+def first_rows(
+    recommended: DataFrame, group: str, n: int = 3, sort_by_category: bool = True
 ) -> DataFrame:
-    """First ``n`` purchase rows per customer and label: a product fills as many places as it has
+    """First ``n`` purchase rows per customer and group: a product fills as many places as it has
     rows. Adds ``places``, the number of the n places this product takes."""
     order = (
-        Window.partitionBy("cont_id", "CAT1")
+        Window.partitionBy("cont_id", group)
         .orderBy(*_order(sort_by_category))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     taken = F.coalesce(F.sum("n_rows").over(order), F.lit(0))
-    places = F.least(F.col("n_rows"), n - F.col("_taken"))
     return (
         recommended.withColumn("_taken", taken)
         .filter(F.col("_taken") < n)
-        .withColumn("places", places)
+        .withColumn("places", F.least(F.col("n_rows"), n - F.col("_taken")))
         .drop("_taken")
     )
 
 
+def unrolled(placed: DataFrame) -> DataFrame:
+    """One row per place."""
+    places = F.sequence(F.lit(1).cast("long"), F.col("places"))
+    return placed.withColumn("place", F.explode(places))
+
+
 def listed(recommended: DataFrame, sort_by_category: bool = True) -> DataFrame:
     """Number a customer's final list."""
-    order = Window.partitionBy("cont_id").orderBy(*_order(sort_by_category))
+    places = ["place"] if "place" in recommended.columns else []
+    order = Window.partitionBy("cont_id").orderBy(*_order(sort_by_category), *places)
     return recommended.withColumn("position", F.row_number().over(order))
 
 

@@ -13,6 +13,11 @@ def all_recommendations(
     per_product: int = 1,
     prefix: str = "recommendation_",
 ) -> DataFrame:
-    """Five products per customer, side by side."""
-    first = ranking.first_per_group(gated(predictions, rows), "prod_name", per_product)
-    return ranking.wide_recommendations(ranking.listed(first), customers, prefix=prefix)
+    """Five places per customer, side by side, at most ``per_product`` rows of a product.
+
+    With one row per product the five are different products. With more, a product that was bought
+    often fills several places.
+    """
+    placed = ranking.first_rows(gated(predictions, rows), "prod_name", per_product)
+    ranked = ranking.listed(ranking.unrolled(placed))
+    return ranking.wide_recommendations(ranked, customers, prefix=prefix)

@@ -16,7 +16,7 @@ def evaluate_by_customers(
 ) -> DataFrame:
     """Training customers; a shown product counts once."""
     mine = predictions.join(train, "cont_id", "left_semi")
-    shown = ranking.first_rows_per_category(gated(mine, rows), per_category)
+    shown = ranking.first_rows(gated(mine, rows), "CAT1", per_category)
     wanted = rows if relevant == "history" else _targets(rows)
     wanted = wanted.join(train, "cont_id", "left_semi")
     return evaluation.hit_counts(shown, wanted, "products", "products")
@@ -26,7 +26,7 @@ def evaluate_by_products(
     predictions: DataFrame, rows: DataFrame, per_category: int = 3, relevant: str = "target"
 ) -> DataFrame:
     """Every customer; hits and relevant products count by row."""
-    shown = ranking.first_rows_per_category(gated(predictions, rows), per_category)
+    shown = ranking.first_rows(gated(predictions, rows), "CAT1", per_category)
     wanted = _targets(rows) if relevant == "target" else rows
     return evaluation.hit_counts(shown, wanted, "rows", "rows")
 
