@@ -141,8 +141,8 @@ def _hot_only(problem: Problem, base_hot: DataFrame, query_hot: DataFrame) -> Da
         )
     best = top_candidates(best, problem.metric, problem.keep).select("q", "n", "gap")
 
-    members = _smallest_members(base_groups, problem.keep)
-    found = best.join(members, best["n"] == members["rep"]).select("q", F.col("idx").alias("n"), "gap")
+    members = _smallest_members(base_groups, problem.keep).withColumnRenamed("rep", "n")
+    found = best.join(members, "n").select("q", F.col("idx").alias("n"), "gap")
     found = top_candidates(found, problem.metric, problem.keep).select(F.col("q").alias("rep"), "n", "gap")
     return found.join(query_groups.select("rep", F.col("idx").alias("q")), "rep").select("q", "n", "gap")
 
@@ -192,7 +192,10 @@ def _score(problem, query_cells, base_cells, visits):
     asked = query_cells.drop("block").join(
         visits.withColumnRenamed("rep", "idx"), "idx"
     )
-    tasks = visits.select("q_block", "shard").distinct()
+    # Named afresh: both sides of the cogroup come from the same visits.
+    tasks = visits.select(
+        F.col("q_block").alias("q_block"), F.col("shard").alias("shard")
+    ).distinct()
     offered = base_cells.withColumnRenamed("block", "shard").join(tasks, "shard")
     columns = ["q_block", "shard", "idx", "fid", "w", "sq"]
     keep, metric = problem.keep, problem.metric
