@@ -25,10 +25,14 @@ def products_by_model(purchases: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def long_requests(wide: DataFrame) -> DataFrame:
-    """Form fields suggestion1..3 to one row per suggestion; empty fields are no suggestion."""
+    """Form fields suggestion1..3 to one row per suggestion; empty fields are no suggestion.
+
+    ``form`` tells the forms of one client apart.
+    """
     fields = [c for c in wide.columns if c.startswith("suggestion")]
+    forms = wide.withColumn("form", F.monotonically_increasing_id())
     cells = F.posexplode(F.array(*fields)).alias("pos", "prod_name")
-    rows = wide.select("client_id", cells).withColumn("pos", F.col("pos") + 1)
+    rows = forms.select("client_id", "form", cells).withColumn("pos", F.col("pos") + 1)
     return rows.filter(F.col("prod_name").isNotNull() & (F.col("prod_name") != ""))
 
 
@@ -37,12 +41,14 @@ def suggestion_rows(
 ) -> DataFrame:
     """Purchase rows for the products that clients named.
 
-    A client gets at most as many rows as names were given, in model order; unknown names give none.
-    ``now`` is the timestamp to record, so that a run can be repeated. ``weighted`` adds qty = 1.
+    A form (a client, where requests have no ``form``) gives at most as many rows as it has names,
+    in model order; unknown names give none. ``now`` is the timestamp to record, so that a run can
+    be repeated. ``weighted`` adds qty = 1.
     """
-    given = requests.groupBy("client_id").agg(F.count("*").alias("n_given"))
-    named = requests.select("client_id", "prod_name").distinct().join(given, "client_id")
-    order = Window.partitionBy("client_id").orderBy("model_id", "category1", "category2")
+    form = [c for c in ("client_id", "form") if c in requests.columns]
+    given = requests.groupBy(*form).agg(F.count("*").alias("n_given"))
+    named = requests.select(*form, "prod_name").distinct().join(given, form)
+    order = Window.partitionBy(*form).orderBy("model_id", "category1", "category2")
     matched = named.join(product_lookup(purchases), "prod_name")
     kept = matched.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= F.col("n_given"))
     recorded = now if not isinstance(now, str) else F.lit(now)

@@ -322,6 +322,10 @@ FROM (SELECT count(DISTINCT transaction_id) AS n FROM raw GROUP BY cont_id)"""),
 ORDER BY md5('42:' || cont_id), cont_id LIMIT 1"""),
     "user_knn_neighbors": sql([RAW] + user_nn("raw"), "SELECT * FROM nn"),
     "item_knn_neighbors": sql([RAW] + item_nn("raw"), "SELECT * FROM inn"),
+    "user_knn_by_family": sql(
+        [RAW, "fam AS (SELECT cont_id, prod_family AS prod_name FROM raw)"] + user_nn("fam"),
+        "SELECT * FROM nn",
+    ),
     "euclid_knn_neighbors": sql(
         [RAW] + weights("raw") + [f"""norms AS (
   SELECT cont_id, {grid('sum(weight * weight)', 12)} AS sq FROM weights GROUP BY cont_id)""", """dots AS (

@@ -380,6 +380,13 @@ def euclid_knn_neighbors(spark, d):
     return neighbors.euclidean_neighbors(features.min_max_weights(_raw(spark, d)))
 
 
+@query
+def user_knn_by_family(spark, d):
+    """Customers by product family: a few features that nearly everybody has."""
+    rows = _raw(spark, d).withColumn("prod_name", F.col("prod_family"))
+    return neighbors.cosine_neighbors(features.min_max_weights(rows), hot_degree=100)
+
+
 @query
 def user_knn_history_without_self(spark, d):
     """Customers against the histories of the others."""
