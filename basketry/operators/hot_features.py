@@ -13,8 +13,8 @@ candidates are enough:
 Copies are scored once. Ids whose hot parts are equal form a group; the group's smallest ids stand
 for it on the base side, and all its members receive the result on the query side.
 
-Base groups are cut into shards by falling |b_hot|. Every query meets the first shard; after that it
-visits only shards whose best case can still beat its k-th best distance.
+Base groups are cut into shards of bounded size, by falling |b_hot|. Every query meets one shard
+first; after that it visits only shards whose best case can still beat its k-th best distance.
 """
 
 import numpy as np
@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.operators.neighbors import Problem, distance, gap_of, rare_dots, top_candidates
-from basketry.operators.positions import with_position
+from basketry.operators.positions import with_group_position
 from basketry.storage import save
 
 _SHARD_ROWS = 4096
 _SHARD_ENTRIES = 2_000_000
 _CELLS = 2_000_000
+_CLASS_SHIFT = 40
 # Room for the rounding of distances when a bound is compared with one.
 _SLACK = 2e-8
 
@@ -107,44 +108,60 @@ def _groups(entries: DataFrame) -> DataFrame:
     return save(prints.join(reps, same).select("idx", "rep", "sq", "n_entries", "hot_norm"), "groups")
 
 
-def _placed(groups: DataFrame, *order) -> tuple[DataFrame, int]:
-    """Representatives in the given order with a 0-based block number, and the block count."""
+def _placed(groups: DataFrame) -> tuple[DataFrame, int | None, int]:
+    """Representatives with their block, the block to visit first, and the number of blocks.
+
+    Blocks are cut inside classes of similar vector length, so that a block is bounded both in rows
+    and in entries, however uneven the lengths are.
+    """
     reps = groups.filter(F.col("idx") == F.col("rep")).drop("idx")
-    placed = save(with_position(reps, order), "placed")
-    size = placed.agg(F.count("*").alias("n"), F.sum("n_entries").alias("entries")).first()
-    if not size.n:
-        return placed.withColumn("block", F.lit(0).cast("long")), 0
-    rows = max(1, min(_SHARD_ROWS, int(_SHARD_ENTRIES * size.n / size.entries)))
-    block = F.floor((F.col("position") - 1) / rows)
-    return placed.withColumn("block", block), -(-size.n // rows)
+    sized = reps.withColumn("size_class", F.floor(F.log2("n_entries")).cast("long"))
+    placed = with_group_position(sized, ["size_class"], [F.desc("hot_norm"), "rep"])
+    fitting = F.floor(_SHARD_ENTRIES / F.pow(F.lit(2.0), F.col("size_class") + 1))
+    rows = F.greatest(F.lit(1), F.least(F.lit(_SHARD_ROWS), fitting))
+    number = F.floor((F.col("position") - 1) / rows)
+    placed = save(
+        placed.withColumn("block", F.shiftleft("size_class", _CLASS_SHIFT) + number), "placed"
+    )
+    # One row per size class, at most 64.
+    classes = placed.groupBy("size_class").agg(
+        F.count("*").alias("n"), F.min("block").alias("first"), F.max("block").alias("last")
+    ).collect()
+    if not classes:
+        return placed, None, 0
+    largest = max(classes, key=lambda c: (c.n, c.first))
+    return placed, largest.first, sum(c.last - c.first + 1 for c in classes)
 
 
 def _hot_only(problem: Problem, base_hot: DataFrame, query_hot: DataFrame) -> DataFrame:
     base_groups = _groups(base_hot)
     query_groups = base_groups if problem.symmetric else _groups(query_hot)
-    shards, n_shards = _placed(base_groups, F.desc("hot_norm"), "rep")
-    asked, _ = _placed(query_groups, F.desc("hot_norm"), "rep")
+    shards, first, n_shards = _placed(base_groups)
+    asked = shards if problem.symmetric else _placed(query_groups)[0]
 
     def cells(entries, placed):
         own = placed.select(F.col("rep").alias("idx"), "block")
         return save(entries.join(own, "idx").select("idx", "fid", "w", "sq", "block"), "cells")
 
     base_cells = cells(base_hot, shards)
-    query_cells = cells(query_hot, asked)
+    query_cells = base_cells if problem.symmetric else cells(query_hot, asked)
 
-    first_visit = asked.select("rep", F.col("block").alias("q_block"), F.lit(0).cast("long").alias("shard"))
+    first_visit = asked.select(
+        "rep", F.col("block").alias("q_block"), F.lit(first).cast("long").alias("shard")
+    )
     best = _score(problem, query_cells, base_cells, first_visit)
     if n_shards > 1:
         best = save(best, "first_shard")
-        best = best.unionByName(
-            _score(problem, query_cells, base_cells, _further_visits(problem, asked, shards, best))
-        )
+        visits = _further_visits(problem, asked, shards, best, first)
+        best = best.unionByName(_score(problem, query_cells, base_cells, visits))
     best = top_candidates(best, problem.metric, problem.keep).select("q", "n", "gap")
 
     members = _smallest_members(base_groups, problem.keep).withColumnRenamed("rep", "n")
     found = best.join(members, "n").select("q", F.col("idx").alias("n"), "gap")
-    found = top_candidates(found, problem.metric, problem.keep).select(F.col("q").alias("rep"), "n", "gap")
-    return found.join(query_groups.select("rep", F.col("idx").alias("q")), "rep").select("q", "n", "gap")
+    found = top_candidates(found, problem.metric, problem.keep)
+    found = found.select(F.col("q").alias("rep"), "n", "gap")
+    receivers = query_groups.select("rep", F.col("idx").alias("q"))
+    return found.join(receivers, "rep").select("q", "n", "gap")
 
 
 def _smallest_members(groups, keep):
@@ -153,14 +170,14 @@ def _smallest_members(groups, keep):
     return numbered.filter(F.col("_n") <= keep).drop("_n")
 
 
-def _further_visits(problem, asked, shards, best):
-    """Shards after the first whose best case can still beat what the query has."""
+def _further_visits(problem, asked, shards, best, first):
+    """The other shards whose best case can still beat what the query has."""
     reached = best.withColumn("dist", distance(F.col("gap"), problem.metric)).groupBy("q").agg(
         F.count("*").alias("have"), F.max("dist").alias("reached")
     )
     # One row per shard: the array grows with the number of shards only.
     bounds = (
-        shards.filter(F.col("block") > 0)
+        shards.filter(F.col("block") != first)
         .groupBy("block")
         .agg(F.max("hot_norm").alias("top_norm"), F.min("sq").alias("least_sq"))
         .agg(F.array_sort(F.collect_list(F.struct("block", "top_norm", "least_sq"))))
@@ -189,15 +206,12 @@ def _further_visits(problem, asked, shards, best):
 
 def _score(problem, query_cells, base_cells, visits):
     """Score query blocks against the shards they visit, keeping the best of each."""
-    asked = query_cells.drop("block").join(
-        visits.withColumnRenamed("rep", "idx"), "idx"
-    )
-    # Named afresh: both sides of the cogroup come from the same visits.
-    tasks = visits.select(
-        F.col("q_block").alias("q_block"), F.col("shard").alias("shard")
-    ).distinct()
-    offered = base_cells.withColumnRenamed("block", "shard").join(tasks, "shard")
     columns = ["q_block", "shard", "idx", "fid", "w", "sq"]
+    asked = query_cells.drop("block").join(visits.withColumnRenamed("rep", "idx"), "idx")
+    tasks = visits.select("q_block", "shard").distinct()
+    offered = base_cells.withColumnRenamed("block", "shard").join(tasks, "shard")
+    # Named afresh: both sides of the cogroup may come from the same tables.
+    offered = offered.select(*[F.col(c).alias(c) for c in columns])
     keep, metric = problem.keep, problem.metric
 
     def score(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +220,7 @@ def _score(problem, query_cells, base_cells, visits):
     return (
         asked.select(*columns)
         .groupBy("q_block", "shard")
-        .cogroup(offered.select(*columns).groupBy("q_block", "shard"))
+        .cogroup(offered.groupBy("q_block", "shard"))
         .applyInPandas(score, _SCORED)
     )
 

@@ -14,7 +14,7 @@ Features are taken apart by how many ids have them:
 * **hot** (more): never joined on. ``hot_features`` scores blocks of ids against blocks of ids and
   keeps only the k best of each block, so that the pairs of a hot feature are never written out.
 * **shared by nobody** (Euclidean only): without a common feature the nearest are simply those with
-  the smallest norm, k rows for the whole data set.
+  the smallest norm, k rows for the whole data set. They also bound how far the others may be.
 
 The three sets of candidates together hold the k nearest for certain; see ``hot_features`` for why.
 """
@@ -29,7 +29,8 @@ from basketry.functions import grid
 from basketry.storage import save
 
 HOT_DEGREE = 512
-_PAIRS_PER_TASK = 1_000_000
+_PAIRS_PER_TASK = 250_000
+_MOST_TASKS = 20_000
 # Removes summation noise below the square root, where it would otherwise grow.
 _GAP_DIGITS = 12
 
@@ -79,12 +80,13 @@ def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, featu
         F.max("degree").alias("top"),
         F.sum(F.when(F.col("degree") <= hot_degree, F.col("work"))).alias("work"),
     ).first()
-    tasks = max(1, -(-int(facts.work or 0) // _PAIRS_PER_TASK))
+    tasks = min(_MOST_TASKS, 1 + int(facts.work or 0) // _PAIRS_PER_TASK)
 
     if (facts.top or 0) <= hot_degree:
-        candidates = _gaps(
-            rare_dots(problem, problem.queries, problem.base, tasks), problem.metric
-        )
+        dots = rare_dots(problem, problem.queries, problem.base, tasks)
+        if metric == "euclidean":
+            dots = dots.filter(_near_enough(problem))
+        candidates = _gaps(dots, metric)
     else:
         hot = save(
             degrees.filter(F.col("degree") > hot_degree)
@@ -142,7 +144,9 @@ def _degrees(problem: Problem) -> DataFrame:
     """Ids per feature on the larger side, and the pairs that joining on it would make."""
     base = problem.base.groupBy("feature").agg(F.count("*").alias("nb"))
     if problem.symmetric:
-        return base.select("feature", F.col("nb").alias("degree"), (F.col("nb") * F.col("nb")).alias("work"))
+        return base.select(
+            "feature", F.col("nb").alias("degree"), (F.col("nb") * F.col("nb")).alias("work")
+        )
     asked = problem.queries.groupBy("feature").agg(F.count("*").alias("nq"))
     return base.join(asked, "feature").select(
         "feature",
@@ -209,12 +213,28 @@ def _gaps(dots: DataFrame, metric: str) -> DataFrame:
     return dots.select("q", "n", gap_of(metric).alias("gap"))
 
 
+def _smallest(problem: Problem) -> DataFrame:
+    """The ``keep`` base ids of smallest norm."""
+    known = problem.ids.filter(F.col("b_sq").isNotNull())
+    return known.orderBy("b_sq", "idx").limit(problem.keep)
+
+
+def _near_enough(problem: Problem) -> Column:
+    """Whether a shared-feature pair can be among the nearest at all.
+
+    Every query has ``keep`` ids no farther than the smallest norms put them, whatever it shares
+    with them. A pair whose gap is larger than that by more than rounding is left out.
+    """
+    known = _smallest(problem).agg(F.count("*").alias("n"), F.max("b_sq").alias("sq"))
+    largest = known.select(F.when(F.col("n") == problem.keep, F.col("sq"))).scalar()
+    slack = 1e-6 * (1 + F.col("q_sq") + F.col("n_sq"))
+    return largest.isNull() | (F.col("n_sq") / 2 - F.col("dot") <= largest / 2 + slack)
+
+
 def _smallest_norms(problem: Problem) -> DataFrame:
     """Every query with the ``keep`` base ids of smallest norm, taken as sharing nothing with it."""
     smallest = (
-        problem.ids.filter(F.col("b_sq").isNotNull())
-        .orderBy("b_sq", "idx")
-        .limit(problem.keep)
+        _smallest(problem)
         .agg(F.collect_list(F.struct(F.col("idx").alias("n"), "b_sq")))
         .scalar()
     )

@@ -16,7 +16,8 @@ def clean(
 ) -> DataFrame:
     """Thresholds in sequence, each on what the one before left, then distinct rows."""
     rows = cleaning.exclude_value(cleaning.drop_missing(raw, required))
-    rows = cleaning.keep_active_customers(rows, min_customer_orders)
+    # Both product thresholds and the rows they filter come from this; the raw scan ends here.
+    rows = save(cleaning.keep_active_customers(rows, min_customer_orders), "active")
     rows = cleaning.keep_selling_products(rows, min_product_orders, cutoff)
     return cleaning.drop_copies(rows)
 

@@ -34,7 +34,7 @@ def by_customers(
     Neighbours come from customers with at least ``min_orders`` orders. ``features_from="history"``
     describes them by their history alone, which keeps targets out of the features.
     """
-    orders = save(split.split_orders(rows, split_by), "orders")
+    orders = split.split_orders(rows, split_by)
     weights = features.min_max_weights(rows)
     base = weights
     if features_from == "history":
