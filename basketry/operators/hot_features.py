@@ -31,6 +31,9 @@ _SHARD_ROWS = 4096
 _SHARD_ENTRIES = 2_000_000
 _CELLS = 2_000_000
 _CLASS_SHIFT = 40
+_DENSE_FEATURES = 256
+# A cell of a matrix product costs about this much less than one met through an index.
+_DENSE_GAIN = 30
 # Room for the rounding of distances when a bound is compared with one.
 _SLACK = 2e-8
 
@@ -230,41 +233,71 @@ def best_of_block(queries: pd.DataFrame, base: pd.DataFrame, keep: int, metric:
 
     Both sides are bounded by the block size; the score matrix is filled a slice at a time.
     """
-    if queries.empty or base.empty:
-        return pd.DataFrame({"q": [], "n": [], "gap": []}).astype({"q": "int64", "n": "int64"})
-    base = base.sort_values("fid", kind="stable")
-    ids, column = np.unique(base["idx"].to_numpy(), return_inverse=True)
-    sq_n = np.empty(len(ids))
-    sq_n[column] = base["sq"].to_numpy()
-    weight = base["w"].to_numpy()
-    features, starts = np.unique(base["fid"].to_numpy(), return_index=True)
-    ends = np.append(starts[1:], len(base))
-    span = {f: slice(s, e) for f, s, e in zip(features.tolist(), starts.tolist(), ends.tolist())}
-
-    asked = np.unique(queries["idx"].to_numpy())
-    step = max(1, _CELLS // len(ids))
-    out = []
+    shared = np.intersect1d(queries["fid"].to_numpy(), base["fid"].to_numpy())
+    queries, base = (side[side["fid"].isin(shared)] for side in (queries, base))
+    ids, column, sq_n = _rows_of(base)
+    asked, row, sq_q = _rows_of(queries)
+    f_n = np.searchsorted(shared, base["fid"].to_numpy())
+    f_q = np.searchsorted(shared, queries["fid"].to_numpy())
+    w_n, w_q = base["w"].to_numpy(), queries["w"].to_numpy()
+    by_feature = np.argsort(f_n, kind="stable")
+    f_n, column, w_n = f_n[by_feature], column[by_feature], w_n[by_feature]
+    by_row = np.argsort(row, kind="stable")
+    f_q, row, w_q = f_q[by_row], row[by_row], w_q[by_row]
+
+    out = [pd.DataFrame({"q": asked[:0], "n": ids[:0], "gap": sq_n[:0]})]
+    step = max(1, _CELLS // max(1, len(ids)))
     for low in range(0, len(asked), step):
-        part = asked[low : low + step]
-        rows = queries[queries["idx"].isin(part)]
-        dots = np.zeros((len(part), len(ids)))
-        sq_q = np.zeros(len(part))
-        sq_q[np.searchsorted(part, rows["idx"].to_numpy())] = rows["sq"].to_numpy()
-        for fid, mine in rows.groupby("fid"):
-            if fid in span:
-                where = np.searchsorted(part, mine["idx"].to_numpy())
-                s = span[fid]
-                dots[where[:, None], column[s]] += mine["w"].to_numpy()[:, None] * weight[s]
-        gap = (sq_q[:, None] + sq_n) / 2 - dots
+        high = min(low + step, len(asked))
+        mine = slice(*np.searchsorted(row, (low, high)))
+        dots = _dots(
+            (row[mine] - low, f_q[mine], w_q[mine], high - low),
+            (column, f_n, w_n, len(ids)),
+            len(shared),
+        )
+        gap = (sq_q[low:high, None] + sq_n) / 2 - dots
         clean = np.floor(np.maximum(gap, 0.0) * 1e12 + 0.5) / 1e12
         dist = clean if metric == "cosine" else np.sqrt(2.0 * clean)
         dist = np.floor(dist * 1e8 + 0.5) / 1e8
         dist[dots <= 0] = np.inf
-        # Columns are in id order, so a stable sort breaks ties by id.
-        order = np.argsort(dist, axis=1, kind="stable")[:, :keep]
-        row = np.repeat(np.arange(len(part)), order.shape[1])
-        order = order.ravel()
-        real = np.isfinite(dist[row, order])
-        row, order = row[real], order[real]
-        out.append(pd.DataFrame({"q": part[row], "n": ids[order], "gap": gap[row, order]}))
+        last = min(keep, len(ids)) - 1
+        enough = np.partition(dist, last, axis=1)[:, last]
+        r, c = np.nonzero((dist <= enough[:, None]) & np.isfinite(dist))
+        # Columns are in id order: nearest first, then smallest id.
+        order = np.lexsort((c, dist[r, c], r))
+        r, c = r[order], c[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < keep
+        r, c = r[first], c[first]
+        out.append(pd.DataFrame({"q": asked[low + r], "n": ids[c], "gap": gap[r, c]}))
     return pd.concat(out, ignore_index=True)
+
+
+def _rows_of(side):
+    """Sorted ids, the row number of every entry, and the squared norm of every id."""
+    ids, first, row = np.unique(side["idx"].to_numpy(), return_index=True, return_inverse=True)
+    return ids, row, side["sq"].to_numpy()[first]
+
+
+def _dots(queries, base, n_features):
+    """Dot products of two sets of sparse rows as a full matrix, by whichever way is less work."""
+    row, f_q, w_q, n_rows = queries
+    column, f_n, w_n, n_columns = base
+    dots = np.zeros((n_rows, n_columns))
+    meetings = np.bincount(f_q, minlength=n_features) @ np.bincount(f_n, minlength=n_features)
+    if n_rows * n_columns * n_features < _DENSE_GAIN * meetings:
+        for low in range(0, n_features, _DENSE_FEATURES):
+            left = np.zeros((n_rows, _DENSE_FEATURES))
+            right = np.zeros((n_columns, _DENSE_FEATURES))
+            for matrix, i, f, w in ((left, row, f_q, w_q), (right, column, f_n, w_n)):
+                here = (f >= low) & (f < low + _DENSE_FEATURES)
+                matrix[i[here], f[here] - low] = w[here]
+            dots += left @ right.T
+        return dots
+    spans = np.searchsorted(f_n, np.arange(n_features + 1))
+    by_feature = np.argsort(f_q, kind="stable")
+    starts = np.searchsorted(f_q[by_feature], np.arange(n_features + 1))
+    for f in np.unique(f_q):
+        own = by_feature[starts[f] : starts[f + 1]]
+        there = slice(spans[f], spans[f + 1])
+        dots[row[own][:, None], column[there]] += w_q[own][:, None] * w_n[there]
+    return dots

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 
 from basketry.operators import hot_features, neighbors
@@ -93,6 +94,39 @@ def test_other_queries_without_self(rows, monkeypatch, metric, hot_degree):
     assert result(got) == brute(base, asked, metric, 4, False)
 
 
+@pytest.mark.parametrize("gain", [0, 10**9])
+def test_block_scores_either_way(monkeypatch, gain):
+    monkeypatch.setattr(hot_features, "_DENSE_GAIN", gain)
+    monkeypatch.setattr(hot_features, "_DENSE_FEATURES", 7)
+    monkeypatch.setattr(hot_features, "_CELLS", 300)
+    features = {}
+
+    def side(seed, first):
+        vectors, sums = skewed(seed, 50), {}
+        for i, _, w in vectors:
+            sums[i] = sums.get(i, 0) + w * w
+        return pd.DataFrame(
+            [(first + int(i[1:]), features.setdefault(f, len(features)), w, sums[i]) for i, f, w in vectors],
+            columns=["idx", "fid", "w", "sq"],
+        )
+
+    queries, base = side(3, 0), side(4, 0)
+    got = hot_features.best_of_block(queries, base, 4, "euclidean")
+    ours = {(r.q, r.n, grid(math.sqrt(2 * grid(max(r.gap, 0), 12)))) for r in got.itertuples()}
+    q, b = ({i: g for i, g in s.groupby("idx")} for s in (queries, base))
+    expected = set()
+    for i, v in q.items():
+        ranked = []
+        for j, u in b.items():
+            both = v.merge(u, on="fid")
+            dot = (both.w_x * both.w_y).sum()
+            if dot > 0:
+                gap = (v.sq.iloc[0] + u.sq.iloc[0]) / 2 - dot
+                ranked.append((grid(math.sqrt(2 * grid(max(gap, 0), 12))), j))
+        expected |= {(i, j, d) for d, j in sorted(ranked)[:4]}
+    assert ours == expected
+
+
 def test_small_slices_of_a_block(rows, monkeypatch):
     monkeypatch.setattr(hot_features, "_CELLS", 50)
     data = skewed(5, 60)
