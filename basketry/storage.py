@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,4 +35,15 @@ def save(df: DataFrame, label: str = "step") -> DataFrame:
     """Run ``df`` now, keep its rows as a Parquet table, return a scan of that table."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that ``save`` wrote in this process, once no result needs them any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
