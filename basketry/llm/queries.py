@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where there is one, the same query in SQL."""
 
-from basketry.llm import decontamination, jaccard_join, pii
+from basketry.llm import decontamination, jaccard_join, pii, toxicity
 
-MODULES = (pii, decontamination, jaccard_join)
+MODULES = (pii, toxicity, decontamination, jaccard_join)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}

@@ -40,7 +40,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts, one after the other.
 
-    ``start``, ``end``: bytes of a word in ``data``; ``row``: its text; ``bound``: text i has the words
+    ``start``, ``end``: bytes of a word in ``data``; ``row``: its text; ``edges``: bytes of a text; ``bound``: text i has the words
     from ``bound[i]`` to ``bound[i + 1]``; ``code``: a 64-bit hash of the word.
     """
 
@@ -53,7 +53,7 @@ class Words:
         filled = offsets[1:] > offsets[:-1]
         first, last = offsets[:-1][filled], offsets[1:][filled] - 1
         opens[first], closes[last] = inside[first], inside[last]
-        self.data = data
+        self.data, self.edges = data, offsets
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.bound = np.searchsorted(self.start, offsets)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bound))
