@@ -40,7 +40,7 @@ _SIEVE = 1 << 22
 _PREFIXES = (3, 4, 5, 6, 7, 8)
 #: So many windows around marked tokens, and twice as many around tokens of clean documents, at most.
 WINDOWS = 8000
-_WINDOW, _EPOCHS, _BATCH, _RATE = 16, 6, 512, 0.2
+_WINDOW, _EPOCHS, _BATCH, _RATE = 16, 12, 512, 0.3
 _PIECE = 512
 
 
