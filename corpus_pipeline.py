@@ -1,13 +1,56 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
 
-from basketry.llm import pii
+Each stage takes (spark, docs, folder) and returns a table. All but the last return the columns of documents;
+a stage works on what its predecessor kept.
 
-STAGES = [("pii", lambda spark, docs, folder: pii.pseudonymise(docs))]
+| stage | what happens |
+|---|---|
+| toxicity | documents predicted to be toxic go |
+| near_duplicates | of each group of similar documents one stays |
+| decontamination | documents that share ten words in a row with a benchmark item go |
+| pii | personal data become pseudonyms of the same format |
+| packing | token sequences: one row per piece with its place |
+"""
+
+from basketry.llm import decontamination, jaccard_join, packing, pii, tables, toxicity
+from basketry.storage import save
+
+
+def drop_toxic(spark, docs, folder):
+    return toxicity.clean(docs, tables.read(spark, folder, "labels"))
+
+
+def drop_near_duplicates(spark, docs, folder):
+    return jaccard_join.one_per_group(docs)
+
+
+def drop_contaminated(spark, docs, folder):
+    return decontamination.clean(docs, tables.read(spark, folder, "benchmark"))
+
+
+def replace_personal_data(spark, docs, folder):
+    return pii.pseudonymise(docs)
+
+
+def pack_sequences(spark, docs, folder):
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", replace_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: A model, bands and a tokenizer are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents of a folder; each result is written and read again."""
+    docs = tables.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
