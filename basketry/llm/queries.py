@@ -1,8 +1,16 @@
 """The queries of this subpackage and, where there is one, the same query in SQL."""
 
-from basketry.llm import decontamination, jaccard_join, packing, pii, toxicity
+from basketry.llm import (
+    decontamination,
+    jaccard_join,
+    main_text,
+    packing,
+    pii,
+    token_counts,
+    toxicity,
+)
 
-MODULES = (pii, toxicity, decontamination, packing, jaccard_join)
+MODULES = (pii, token_counts, toxicity, decontamination, packing, jaccard_join, main_text)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
