@@ -4,13 +4,23 @@ from basketry.llm import (
     decontamination,
     jaccard_join,
     main_text,
+    order_minhash,
     packing,
     pii,
     token_counts,
     toxicity,
 )
 
-MODULES = (pii, token_counts, toxicity, decontamination, packing, jaccard_join, main_text)
+MODULES = (
+    pii,
+    order_minhash,
+    token_counts,
+    toxicity,
+    decontamination,
+    packing,
+    jaccard_join,
+    main_text,
+)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
