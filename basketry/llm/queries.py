@@ -3,6 +3,7 @@
 from basketry.llm import (
     decontamination,
     jaccard_join,
+    language,
     main_text,
     order_minhash,
     packing,
@@ -20,6 +21,7 @@ MODULES = (
     packing,
     jaccard_join,
     main_text,
+    language,
 )
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
