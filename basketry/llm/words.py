@@ -15,6 +15,10 @@ _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[0x00:0x30] = _IN_WORD[0x3A:0x61] = _IN_WORD[0x7B:0x80] = False
 
+#: Words of all bytes but white space.
+NO_BLANKS = np.ones(256, dtype=bool)
+NO_BLANKS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ODD = np.random.default_rng(20).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -37,6 +41,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes between each start and end."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
+    return mixed((total[end] - total[start]) * _power(_INVERSE, len(data) + 1)[start])
+
+
 class Words:
     """The words of some texts, one after the other.
 
@@ -44,9 +55,9 @@ class Words:
     from ``bound[i]`` to ``bound[i + 1]``; ``code``: a 64-bit hash of the word.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = _IN_WORD):
         data = _LOWER[raw]
-        inside = _IN_WORD[data]
+        inside = in_word[data]
         opens, closes = inside.copy(), inside.copy()
         opens[1:] &= ~inside[:-1]
         closes[:-1] &= ~inside[1:]
@@ -57,10 +68,7 @@ class Words:
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.bound = np.searchsorted(self.start, offsets)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bound))
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data + np.uint64(1)) * _power(_BASE, len(data)), out=total[1:])
-        code = (total[self.end] - total[self.start]) * _power(_INVERSE, len(data) + 1)[self.start]
-        self.code = mixed(code)
+        self.code = span_codes(data, self.start, self.end)
 
     def grams(self, n: int):
         """Hash of the n words from each word on, and whether they lie in one text."""
@@ -79,8 +87,14 @@ class Words:
         ).decode("utf-8", "replace")
 
 
-def slices(column: pa.Array):
+def slices(column: pa.Array, in_word: np.ndarray = _IN_WORD):
     """Pairs of (index of the first text, its Words) that cover the column; null counts as empty."""
+    for first, data, offsets in raw_slices(column):
+        yield first, Words(data, offsets, in_word)
+
+
+def raw_slices(column: pa.Array):
+    """(index of the first text, bytes, offsets) of some texts after the other; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[
         column.offset : column.offset + len(column) + 1
@@ -92,5 +106,5 @@ def slices(column: pa.Array):
         limit = np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right") - 1
         last = max(first + 1, min(int(limit), len(column)))
         here = offsets[first : last + 1]
-        yield first, Words(data[here[0] : here[-1]], here - here[0])
+        yield first, data[here[0] : here[-1]], here - here[0]
         first = last
