@@ -8,6 +8,7 @@ from basketry.llm import (
     order_minhash,
     packing,
     pii,
+    pitman_yor,
     token_counts,
     toxicity,
 )
@@ -15,6 +16,7 @@ from basketry.llm import (
 MODULES = (
     pii,
     order_minhash,
+    pitman_yor,
     token_counts,
     toxicity,
     decontamination,
