@@ -209,8 +209,12 @@ def report(docs: DataFrame, items: DataFrame, size: int = SIZE, gram: int = GRAM
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """The documents that share no window with any item, with their columns unchanged."""
     _, hits, _ = overlaps(docs, items, size, gram)
-    bad = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    bad = hits.select(
+        F.col("doc_id").alias("__llm_id"), F.col("text_key").alias("__llm_key")
+    ).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (
+        F.xxhash64("text") == F.col("__llm_key")
+    )
     return docs.join(bad, same, "left_anti")
 
 

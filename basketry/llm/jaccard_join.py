@@ -324,7 +324,8 @@ def similar_classes(
 def links_per_document(docs: DataFrame, **options) -> DataFrame:
     """One row per document: class, group, number of linked documents.
 
-    ``copy_of`` is the least doc_id with the same n-gram set, ``group_id`` the least doc_id of the group.
+    ``copy_of`` is the least doc_id with the same n-gram set, ``group_id`` the least doc_id of the group;
+    ``group_key`` tells groups apart even where ids repeat.
     Documents without words (null and empty ones too) have only equal texts as links, null and empty none.
     """
     named, summary = similar_classes(docs, **options)
@@ -340,6 +341,9 @@ def links_per_document(docs: DataFrame, **options) -> DataFrame:
         "text_key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
+        F.when(alone, F.concat_ws("-", F.lit("e"), "doc_id", "text_key"))
+        .otherwise(F.col("root"))
+        .alias("group_key"),
         F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1).alias("n_copies"),
         F.when(alone, F.lit(0)).otherwise(F.col("linked_classes")).alias("n_linked_classes"),
         F.when(alone, F.lit(0))
@@ -349,23 +353,25 @@ def links_per_document(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the least (doc_id, text_key), once; empty texts all stay."""
+    """The rows of ``docs`` that stay: of each group the least (doc_id, text_key), once.
+
+    Null and empty texts are groups of their own by id, so all of them stay, repeated rows once.
+    """
     rows = links_per_document(docs, **options)
     best = (
-        rows.groupBy("group_id")
+        rows.groupBy("group_key")
         .agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
-        .select(F.col("best.doc_id").alias("_id"), F.col("best.text_key").alias("_key"))
+        .select(F.col("best.doc_id").alias("__llm_id"), F.col("best.text_key").alias("__llm_key"))
     )
-    # Different texts may carry one id only if ids repeat; then groups may share their least document.
-    repeated = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("_times"))
-    best = best.distinct().join(
+    repeated = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("__llm_times"))
+    best = best.join(
         repeated.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"}),
-        F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")),
+        F.col("__llm_id").eqNullSafe(F.col("_d")) & (F.col("__llm_key") == F.col("_t")),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    kept = docs.join(best.select("_id", "_key", "_times"), same)
-    once = kept.filter("_times = 1").select(*docs.columns)
-    more = kept.filter("_times > 1").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.xxhash64("text") == F.col("__llm_key"))
+    kept = docs.join(best.select("__llm_id", "__llm_key", "__llm_times"), same)
+    once = kept.filter("__llm_times = 1").select(*docs.columns)
+    more = kept.filter("__llm_times > 1").dropDuplicates(["__llm_id", "__llm_key"]).select(*docs.columns)
     return once.unionByName(more)
 
 

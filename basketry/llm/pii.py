@@ -395,14 +395,14 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     """
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     between = F.split(F.col(text), PATTERN, -1)
-    images = F.concat(F.transform("_found", lambda x: pseudonym(key, x)), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with("_between", images, lambda a, b: F.concat(a, b)), "")
-    new = F.when(F.size("_found") > 0, joined).otherwise(F.col(text))
+    images = F.concat(F.transform("__llm_found", lambda x: pseudonym(key, x)), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with("__llm_between", images, lambda a, b: F.concat(a, b)), "")
+    new = F.when(F.size("__llm_found") > 0, joined).otherwise(F.col(text))
     # A find has a digit or an at sign; other texts skip the search.
     worth = F.col(text).rlike("[0-9@]")
     out = (
-        docs.withColumn("_found", F.when(worth, found).otherwise(F.array().cast("array<string>")))
-        .withColumn("_between", F.when(F.size("_found") > 0, between))
+        docs.withColumn("__llm_found", F.when(worth, found).otherwise(F.array().cast("array<string>")))
+        .withColumn("__llm_between", F.when(F.size("__llm_found") > 0, between))
         .withColumn(text, new)
     )
     if "n_chars" in docs.columns:

@@ -27,7 +27,7 @@ _powers = {}
 
 def _power(base: int, length: int) -> np.ndarray:
     """base^0, base^1, ... modulo 2^64."""
-    if len(_powers.get(base, ())) < length:
+    if base not in _powers or len(_powers[base]) < length:
         steps = np.full(max(length, SLICE_BYTES), base, dtype=np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps, dtype=np.uint64)
