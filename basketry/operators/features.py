@@ -8,9 +8,11 @@ from basketry.functions import min_max
 from basketry.storage import save
 
 
-def purchase_counts(purchases: DataFrame) -> DataFrame:
-    """Purchase rows per customer and product."""
-    named = purchases.filter(F.col("prod_name") != "nan")
+def purchase_counts(purchases: DataFrame, keep_nan: bool = False) -> DataFrame:
+    """Purchase rows per customer and product; the literal name ``nan`` is no product unless kept."""
+    named = purchases.filter(F.col("prod_name").isNotNull())
+    if not keep_nan:
+        named = named.filter(F.col("prod_name") != "nan")
     return named.groupBy("cont_id", "prod_name").agg(F.count("*").alias("cnt"))
 
 
@@ -18,10 +20,10 @@ def with_quantity(purchases: DataFrame) -> DataFrame:
     """Put the size of its (customer, product) group on every row.
 
     An aggregate joined back, not a window: a group of any size is counted map-side and the join
-    may split it.
+    may split it. Every row stays; one without a customer or a product has no quantity.
     """
-    counts = purchase_counts(purchases).withColumnRenamed("cnt", "qty")
-    return purchases.join(counts, ["cont_id", "prod_name"])
+    counts = purchase_counts(purchases, keep_nan=True).withColumnRenamed("cnt", "qty")
+    return purchases.join(counts.filter("cont_id is not null"), ["cont_id", "prod_name"], "left")
 
 
 def column_bounds(counts: DataFrame) -> DataFrame:
@@ -58,7 +60,8 @@ def quantity_weights(purchases: DataFrame, weight: str = "count_sq") -> DataFram
     """Item weights: ``count_sq`` sums the group size over the group's rows, ``count`` does not."""
     cnt = F.col("cnt").cast("double")
     value = {"count_sq": cnt * cnt, "count": cnt}[weight]
-    return purchase_counts(purchases).select("cont_id", "prod_name", value.alias("weight"))
+    counts = purchase_counts(purchases, keep_nan=True)
+    return counts.select("cont_id", "prod_name", value.alias("weight"))
 
 
 def row_norms(weights: DataFrame, key: str = "cont_id") -> DataFrame:

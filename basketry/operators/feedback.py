@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.schemas import SUGGESTION
+from basketry.storage import save
 
 _DESCRIPTION = [
     "prod_family", "prod_subfamily", "prod_name", "CAT1", "category1", "category2", "model_id",
@@ -27,10 +28,13 @@ def products_by_model(purchases: DataFrame, models: DataFrame) -> DataFrame:
 def long_requests(wide: DataFrame) -> DataFrame:
     """Form fields suggestion1..3 to one row per suggestion; empty fields are no suggestion.
 
-    ``form`` tells the forms of one client apart.
+    ``form`` tells the forms of one client apart. Where the input has none, forms are numbered and
+    the numbers kept in a written table, so that later steps see the same ones.
     """
     fields = [c for c in wide.columns if c.startswith("suggestion")]
-    forms = wide.withColumn("form", F.monotonically_increasing_id())
+    forms = wide
+    if "form" not in wide.columns:
+        forms = save(wide.withColumn("form", F.monotonically_increasing_id()), "forms")
     cells = F.posexplode(F.array(*fields)).alias("pos", "prod_name")
     rows = forms.select("client_id", "form", cells).withColumn("pos", F.col("pos") + 1)
     return rows.filter(F.col("prod_name").isNotNull() & (F.col("prod_name") != ""))
@@ -42,7 +46,7 @@ def suggestion_rows(
     """Purchase rows for the products that clients named.
 
     A form (a client, where requests have no ``form``) gives at most as many rows as it has names,
-    in model order; unknown names give none. ``now`` is the timestamp to record, so that a run can
+    in model order; unknown names give none. ``purchases`` may be the product table alone. ``now`` is the timestamp to record, so that a run can
     be repeated. ``weighted`` adds qty = 1.
     """
     form = [c for c in ("client_id", "form") if c in requests.columns]

@@ -30,7 +30,6 @@ from basketry.storage import save
 
 HOT_DEGREE = 512
 _PAIRS_PER_TASK = 250_000
-_MOST_TASKS = 20_000
 # Removes summation noise below the square root, where it would otherwise grow.
 _GAP_DIGITS = 12
 
@@ -80,7 +79,7 @@ def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, featu
         F.max("degree").alias("top"),
         F.sum(F.when(F.col("degree") <= hot_degree, F.col("work"))).alias("work"),
     ).first()
-    tasks = min(_MOST_TASKS, 1 + int(facts.work or 0) // _PAIRS_PER_TASK)
+    tasks = 1 + int(facts.work or 0) // _PAIRS_PER_TASK
 
     if (facts.top or 0) <= hot_degree:
         dots = rare_dots(problem, problem.queries, problem.base, tasks)

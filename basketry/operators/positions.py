@@ -5,6 +5,8 @@ the cluster first, so a group of any size is spread over many tasks; only one ro
 needed to turn local numbers into global ones.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,16 +41,21 @@ def with_position(df: DataFrame, order, name: str = "position") -> DataFrame:
 def with_group_position(
     df: DataFrame, group, order, name: str = "position", size: str | None = None
 ) -> DataFrame:
-    """Add 1..n inside each group (and n itself, as ``size``). Group columns must not be null."""
+    """Add 1..n inside each group (and n itself, as ``size``). Null is a group like any other."""
     placed = with_position(df, [*group, *order], "_position")
     firsts = placed.groupBy(*group).agg(
         F.min("_position").alias("_first"),
         F.count("*").alias(size or "_size"),
     )
-    numbered = placed.join(firsts, list(group)).withColumn(
+    renamed = firsts.withColumnsRenamed({g: f"_group_{g}" for g in group})
+    same = reduce(
+        lambda left, right: left & right,
+        [F.col(g).eqNullSafe(F.col(f"_group_{g}")) for g in group],
+    )
+    numbered = placed.join(renamed, same).withColumn(
         name, F.col("_position") - F.col("_first") + 1
     )
-    return numbered.drop("_position", "_first", "_size")
+    return numbered.drop("_position", "_first", "_size", *[f"_group_{g}" for g in group])
 
 
 def paged_lists(

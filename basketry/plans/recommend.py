@@ -37,10 +37,15 @@ def by_customers(
     orders = split.split_orders(rows, split_by)
     weights = features.min_max_weights(rows)
     base = weights
+    train = split.train_customers(rows, min_orders) if min_orders > 1 else None
     if features_from == "history":
-        base = features.min_max_weights(split.split_rows(rows, orders, "history"))
-    if min_orders > 1:
-        base = base.join(split.train_customers(rows, min_orders), "cont_id", "left_semi")
+        # The bounds are those of the customers that take part.
+        past = split.split_rows(rows, orders, "history")
+        if train is not None:
+            past = past.join(train, "cont_id", "left_semi")
+        base = features.min_max_weights(past)
+    elif train is not None:
+        base = base.join(train, "cont_id", "left_semi")
     queries = None if base is weights else weights
     if clients is not None:
         queries = weights.join(clients, "cont_id", "left_semi")

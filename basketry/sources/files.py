@@ -5,20 +5,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from basketry.functions import file_stamp, parse_timestamp
-from basketry.schemas import ALL_RECOS, CATEGORY_FILE, NULL_TEXTS, RAW_PURCHASES
+from basketry.schemas import CATEGORY_FILE, NULL_TEXTS, RAW_PURCHASES
 
 
-def _text_scan(spark: SparkSession, path: str, schema: StructType, sep: str) -> DataFrame:
-    as_text = StructType([StructField(f.name, StringType()) for f in schema.fields])
-    return (
-        spark.read.schema(as_text)
-        .option("header", True)
+def _text_scan(
+    spark: SparkSession, path: str, schema: StructType, sep: str, multi_line: bool, mode: str
+) -> DataFrame:
+    """The columns of the schema, found by the names in the header; others are not read.
+
+    ``multi_line`` is for quoted line ends (such a file is one task). ``mode`` says what becomes of
+    malformed rows: they raise unless it is PERMISSIVE or DROPMALFORMED.
+    """
+    scan = (
+        spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("enforceSchema", False)
+        .option("multiLine", multi_line)
+        .option("mode", mode)
         .csv(path)
     )
+    missing = [n for n in schema.fieldNames() if n not in scan.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return scan.select(*schema.fieldNames())
 
 
 def _missing_to_null(df: DataFrame, null_texts) -> DataFrame:
@@ -34,9 +44,12 @@ def read_purchases_csv(
     date_pattern: str | None = None,
     strict_dates: bool = True,
     null_texts=NULL_TEXTS,
+    multi_line: bool = False,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Raw purchases. Ids stay text; dates are parsed, bad ones raise unless ``strict_dates`` is off."""
-    rows = _missing_to_null(_text_scan(spark, path, RAW_PURCHASES, sep), null_texts)
+    scan = _text_scan(spark, path, RAW_PURCHASES, sep, multi_line, mode)
+    rows = _missing_to_null(scan, null_texts)
     return rows.withColumn(
         "transaction_date",
         parse_timestamp(F.col("transaction_date"), date_pattern, strict_dates),
@@ -44,16 +57,27 @@ def read_purchases_csv(
 
 
 def read_categories_csv(
-    spark: SparkSession, path: str, sep: str = ",", null_texts=NULL_TEXTS
+    spark: SparkSession,
+    path: str,
+    sep: str = ",",
+    null_texts=NULL_TEXTS,
+    multi_line: bool = False,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
-    rows = _missing_to_null(_text_scan(spark, path, CATEGORY_FILE, sep), null_texts)
+    scan = _text_scan(spark, path, CATEGORY_FILE, sep, multi_line, mode)
+    rows = _missing_to_null(scan, null_texts)
     return rows.withColumnsRenamed(
         {"famille_intitule": "prod_family", "sous_famille_intitule": "prod_subfamily"}
     )
 
 
-def read_recommendations_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _text_scan(spark, path, ALL_RECOS, ",")
+def read_recommendations_csv(
+    spark: SparkSession, path: str, prefix: str = "recommendation_", mode: str = "FAILFAST"
+) -> DataFrame:
+    """A table of five places per customer; ``prefix`` is that of the place columns."""
+    names = ["cont_id", *[f"{prefix}{i}" for i in range(1, 6)]]
+    schema = StructType([StructField(n, StringType()) for n in names])
+    return _text_scan(spark, path, schema, ",", False, mode)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> None:

@@ -56,7 +56,7 @@ def categories(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feedback_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Up to three suggested products per client, from the purchase events, in long form."""
+    """Suggested products, from all purchase events, in long form: forms of three, in the events' order."""
     parts = _read(spark, folder, "part")
     part_count = parts.agg(F.count("*")).scalar()
     first = Window.partitionBy("client_id").orderBy("event_id")
@@ -68,9 +68,10 @@ def feedback_requests(spark: SparkSession, folder: str) -> DataFrame:
             "event_id",
             F.pmod("event_id", part_count).alias("p_partkey"),
         )
-        .withColumn("pos", F.row_number().over(first))
-        .filter(F.col("pos") <= 3)
+        .withColumn("_n", F.row_number().over(first) - 1)
+        .withColumn("form", F.floor(F.col("_n") / 3))
+        .withColumn("pos", F.col("_n") % 3 + 1)
     )
     return asked.join(parts.select("p_partkey", "p_name"), "p_partkey").select(
-        "client_id", "pos", _product_name().alias("prod_name")
+        "client_id", "form", "pos", _product_name().alias("prod_name")
     )

@@ -4,6 +4,8 @@ Suggestions are a data set of their own, so that recording one is an append and
 them never rewrites the purchase history.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,10 @@ class Dataset:
         return f"{self.root}/{name}"
 
     def create(self, purchases: DataFrame, menu: DataFrame) -> None:
-        """Write both tables; fails where they exist."""
+        """Write both tables; fails, before anything is written, where one exists."""
+        for name in ("purchases", "menu"):
+            if self._has(name):
+                raise FileExistsError(f"{self._path(name)} already exists")
         self._write(purchases, menu, "errorifexists")
 
     def replace(self, purchases: DataFrame, menu: DataFrame) -> None:
@@ -28,11 +33,13 @@ class Dataset:
         self.reset_suggestions()
 
     def _write(self, purchases, menu, mode):
-        _shaped(purchases, PURCHASES).write.mode(mode).parquet(self._path("purchases"))
-        _shaped(menu, MENU).write.mode(mode).parquet(self._path("menu"))
+        shaped(purchases, PURCHASES).write.mode(mode).parquet(self._path("purchases"))
+        shaped(menu, MENU).write.mode(mode).parquet(self._path("menu"))
 
     def append_suggestions(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._path("suggestions"))
+        """Record rows in a folder of their own, beside those that a stream writes."""
+        folder = f"{self._path('suggestions')}/rows-{uuid.uuid4().hex}"
+        shaped(rows, PURCHASES).write.parquet(folder)
 
     def reset_suggestions(self) -> None:
         """Forget every recorded suggestion."""
@@ -43,9 +50,9 @@ class Dataset:
         bought = self.spark.read.schema(PURCHASES).parquet(self._path("purchases"))
         if not with_suggestions or not self._has("suggestions"):
             return bought
-        return bought.unionByName(
-            self.spark.read.schema(PURCHASES).parquet(self._path("suggestions"))
-        )
+        # Every folder below holds rows of one layout.
+        recorded = self.spark.read.schema(PURCHASES).option("recursiveFileLookup", True)
+        return bought.unionByName(recorded.parquet(self._path("suggestions")))
 
     def menu(self) -> DataFrame:
         return self.spark.read.schema(MENU).parquet(self._path("menu"))
@@ -57,7 +64,7 @@ class Dataset:
         return path.getFileSystem(conf).exists(path)
 
 
-def _shaped(df, schema):
+def shaped(df, schema):
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 

@@ -6,11 +6,13 @@ lineage, survives the loss of any executor, and gives the planner real sizes to
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_written: list[str] = []
+#: Tables written so far, by scope; the first scope is the process.
+_scopes: list[list[str]] = [[]]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,22 +30,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _scopes[-1].append(path)
+    return path
 
 
 def save(df: DataFrame, label: str = "step") -> DataFrame:
     """Run ``df`` now, keep its rows as a Parquet table, return a scan of that table."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> int:
-    """Delete the tables that ``save`` wrote in this process, once no result needs them any more."""
+    """Delete what was written in the present scope, once no result needs it any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    count = len(_written)
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    written = _scopes[-1]
+    count = len(written)
+    while written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.pop())
         path.getFileSystem(conf).delete(path, True)
     return count
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """What is written inside is deleted at the end, and nothing else.
+
+    Results that are still to be read must leave the scope by an action (a write, a collect).
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        clear(spark)
+        _scopes.pop()

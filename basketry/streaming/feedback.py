@@ -7,8 +7,9 @@ itself and no suggestion is recorded twice.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.operators.feedback import long_requests, suggestion_rows
-from basketry.schemas import FEEDBACK_REQUESTS
+from basketry.operators.feedback import long_requests, product_lookup, suggestion_rows
+from basketry.schemas import FEEDBACK_REQUESTS, PURCHASES
+from basketry.sources.tables import shaped
 from basketry.storage import save
 
 
@@ -23,12 +24,16 @@ def request_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> D
 
 
 def record_suggestions(requests: DataFrame, purchases: DataFrame, target: str, checkpoint: str, now):
-    """Start a query that records every available request and then stops."""
+    """Start a query that records every available request and then stops.
+
+    The products are worked out once, from the purchase log or a product table. ``target`` is the
+    suggestions folder of a data set; a batch is a folder there, as an appended set of rows is.
+    """
+    products = save(product_lookup(purchases), "products")
 
     def record(batch: DataFrame, number: int) -> None:
-        forms = save(long_requests(batch), "forms")
-        rows = suggestion_rows(forms, purchases, now)
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows = suggestion_rows(long_requests(batch), products, now)
+        shaped(rows, PURCHASES).write.mode("overwrite").parquet(f"{target}/stream-{number}")
 
     return (
         requests.writeStream.foreachBatch(record)

@@ -78,7 +78,7 @@ def test_stream_records_each_request_once(spark, purchases, tmp_path):
 
     def run():
         record_suggestions(request_stream(spark, inbox), purchases, target, marks, NOW).awaitTermination(120)
-        return spark.read.parquet(target).select("cont_id", "prod_name").collect()
+        return spark.read.option("recursiveFileLookup", True).schema(PURCHASES).parquet(target).select("cont_id", "prod_name").collect()
 
     (tmp_path / "in" / "1.csv").write_text(header + "a,bed,,\n")
     assert len(run()) == 1

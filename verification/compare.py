@@ -11,6 +11,7 @@ import time
 
 import duckdb
 
+from basketry import storage
 from verification.oracle import ORACLE
 from verification.queries import QUERIES
 
@@ -57,10 +58,11 @@ def main():
     spark, db, bad = session(), database(folder), []
     for name in names:
         start = time.time()
-        if name in ORACLE:
-            problem = compare(spark, db, folder, name)
-        else:
-            problem = None if QUERIES[name](spark, folder).count() else "no rows"
+        with storage.scope(spark):
+            if name in ORACLE:
+                problem = compare(spark, db, folder, name)
+            else:
+                problem = None if QUERIES[name](spark, folder).count() else "no rows"
         bad += [name] if problem else []
         print(f"{name}: {problem or 'ok'} ({time.time() - start:.1f}s)", flush=True)
     print(f"{len(names) - len(bad)} of {len(names)} equal")

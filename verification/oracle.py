@@ -47,12 +47,13 @@ MENU = INBOX + [f"""firsts AS (
   FROM firsts JOIN cats USING (prod_family, prod_subfamily))"""]
 
 REQUESTS = """requests AS (
-  SELECT client_id, pos, p_name || '#' || CAST(p_partkey AS VARCHAR) AS prod_name FROM (
+  SELECT client_id, n // 3 AS form, CAST(n % 3 + 1 AS INTEGER) AS pos,
+         p_name || '#' || CAST(p_partkey AS VARCHAR) AS prod_name FROM (
     SELECT CAST(user_id AS VARCHAR) AS client_id,
-           row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos,
+           row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n,
            event_id % (SELECT count(*) FROM part) AS partkey
     FROM events WHERE event_type = 'purchase') e
-  JOIN part ON partkey = p_partkey WHERE pos <= 3)"""
+  JOIN part ON partkey = p_partkey)"""
 
 FEEDBACK = ROWS + [REQUESTS, """lookup AS (
   SELECT DISTINCT prod_family, prod_subfamily, prod_name, "CAT1", category1, category2, model_id
@@ -61,9 +62,10 @@ FEEDBACK = ROWS + [REQUESTS, """lookup AS (
          CAST(NULL AS VARCHAR) AS prod_id, prod_family, prod_subfamily, prod_name, "CAT1",
          category1, category2, model_id
   FROM (SELECT r.client_id, l.*, n_given,
-               row_number() OVER (PARTITION BY r.client_id ORDER BY model_id) AS rn
-        FROM (SELECT DISTINCT client_id, prod_name FROM requests) r
-        JOIN (SELECT client_id, count(*) AS n_given FROM requests GROUP BY 1) g USING (client_id)
+               row_number() OVER (PARTITION BY r.client_id, r.form ORDER BY model_id) AS rn
+        FROM (SELECT DISTINCT client_id, form, prod_name FROM requests) r
+        JOIN (SELECT client_id, form, count(*) AS n_given FROM requests GROUP BY 1, 2) g
+             USING (client_id, form)
         JOIN lookup l USING (prod_name))
   WHERE rn <= n_given)""", """fed AS (SELECT * FROM rows UNION ALL BY NAME SELECT * FROM suggestions)"""]
 
@@ -149,14 +151,15 @@ def by_customers(src="rows", vote="last", n=5):
     return user_nn(src) + orders(src) + targets(src) + picks(vote, n)
 
 
-def by_products(src="rows", weight="cnt * cnt", seed="top1", order="prod_name"):
+def by_products(src="rows", weight="cnt * cnt", seed="top1", order="prod_name", past=None):
+    past = past or src
     seeds = "iw" if seed == "all" else """(SELECT * FROM iw QUALIFY row_number() OVER (
       PARTITION BY cont_id ORDER BY weight DESC, prod_name) = 1)"""
-    return item_nn(src, weight) + orders(src) + [f"""picks AS (
+    return item_nn(src, weight) + orders(past) + [f"""picks AS (
   SELECT cont_id, prod_name, dist, row_number() OVER (PARTITION BY cont_id ORDER BY {order}) AS rank
   FROM (SELECT s.cont_id, inn.neighbor_id AS prod_name, min(inn.dist) AS dist
         FROM {seeds} s JOIN inn USING (prod_name) GROUP BY 1, 2) c
-  WHERE NOT EXISTS (SELECT 1 FROM {src} r JOIN split o USING (cont_id, transaction_id)
+  WHERE NOT EXISTS (SELECT 1 FROM {past} r JOIN split o USING (cont_id, transaction_id)
                     WHERE o.part = 'history' AND r.cont_id = c.cont_id AND r.prod_name = c.prod_name))"""]
 
 
@@ -211,6 +214,9 @@ def sql(ctes, body):
 
 TARGET_ROWS = """target_rows AS (SELECT r.* FROM {src} r JOIN split USING (cont_id, transaction_id)
   WHERE part = 'target')"""
+# Features of history describe customers with enough orders only; the others do not bound them.
+TRAINING_ROWS = """history_rows AS (SELECT r.* FROM {src} r JOIN split USING (cont_id, transaction_id)
+  WHERE part = 'history' AND n_orders >= {n})"""
 HISTORY_ROWS = """history_rows AS (SELECT r.* FROM {src} r JOIN split USING (cont_id, transaction_id)
   WHERE part = 'history')"""
 
@@ -300,7 +306,7 @@ USING (prod_subfamily)"""),
     "seed_products": sql([RAW, counts("raw")], """SELECT cont_id, prod_name FROM counts
 QUALIFY row_number() OVER (PARTITION BY cont_id ORDER BY cnt DESC, prod_name) = 1"""),
     "wide_counts": sql([RAW], "SELECT cont_id, " + ", ".join(
-        f"count(*) FILTER (WHERE prod_family = 'Brand#{i}') AS \"Brand#{i}\"" for i in range(1, 6)
+        f"count(*) FILTER (WHERE prod_family = 'Brand#{i}') AS \"Brand#{i}\"" for i in range(1, 26)
     ) + " FROM raw GROUP BY cont_id"),
     "order_split": sql([RAW] + orders("raw"), "SELECT * FROM split"),
     "order_split_by_date": sql(
@@ -355,10 +361,21 @@ QUALIFY neighbor_rank <= 10"""),
         ROWS + by_customers() + gated(), served("rank, prod_name, model_id")
     ),
     "recommend_user_with_feedback": sql(FEEDBACK + by_customers("fed") + gated("fed"), served()),
+    "recommend_item_with_feedback": sql(
+        FEEDBACK + by_products("fed", past="rows"), "SELECT * FROM picks"
+    ),
+    "eval_user_with_feedback": sql(
+        FEEDBACK + by_customers("fed") + gated("fed") + unrolled('"CAT1"', 3),
+        ratios(
+            """SELECT count(*) FROM (SELECT DISTINCT cont_id, prod_name FROM placed
+               INTERSECT SELECT DISTINCT cont_id, prod_name FROM fed)""",
+            "SELECT count(*) FROM placed",
+            "SELECT count(*) FROM (SELECT DISTINCT cont_id, prod_name FROM fed)",
+        ),
+    ),
     "recommend_euclid": sql(
-        ROWS + orders("rows") + [HISTORY_ROWS.format(src="rows")] + weights("rows")
-        + weights("history_rows", "_h") + [f"""base AS (SELECT * FROM weights_h WHERE cont_id IN (
-  SELECT cont_id FROM rows GROUP BY cont_id HAVING count(DISTINCT transaction_id) >= 5))""",
+        ROWS + orders("rows") + [TRAINING_ROWS.format(src="rows", n=5)] + weights("rows")
+        + weights("history_rows", "_h") + ["base AS (SELECT * FROM weights_h)",
         f"""qn AS (SELECT cont_id, {grid('sum(weight * weight)', 12)} AS sq FROM weights GROUP BY 1)""",
         f"""bn AS (SELECT cont_id, {grid('sum(weight * weight)', 12)} AS sq FROM base GROUP BY 1)""",
         """dots AS (SELECT a.cont_id AS q, b.cont_id AS n, sum(a.weight * b.weight) AS dot
@@ -393,6 +410,9 @@ GROUP BY cont_id, "CAT1", prod_name, rank, model_id""",
     "all_recos_wide_item": sql(
         ROWS + by_products() + gated() + unrolled("prod_name", 5), wide("rows", "prod_name")
     ),
+    "all_recos_item_csv": sql(
+        ROWS + by_products() + gated() + unrolled("prod_name", 5), wide("rows", "prod_name")
+    ),
     "eval_user": sql(
         ROWS + by_customers() + gated() + unrolled('"CAT1"', 3),
         ratios(
@@ -422,7 +442,7 @@ GROUP BY cont_id, "CAT1", prod_name, rank, model_id""",
     ),
     "feedback_rows": sql(FEEDBACK, "SELECT * FROM suggestions"),
     "feedback_rows_weighted": sql(FEEDBACK, "SELECT *, 1 AS qty FROM suggestions"),
-    "feedback_unknown_names": sql(FEEDBACK, """SELECT client_id, pos, prod_name FROM requests
+    "feedback_unknown_names": sql(FEEDBACK, """SELECT client_id, form, pos, prod_name FROM requests
 WHERE prod_name NOT IN (SELECT prod_name FROM lookup)"""),
     "purchases_with_feedback": sql(FEEDBACK, f"SELECT {INBOX_COLUMNS} FROM fed"),
     "reset_feedback": sql(ROWS, f"SELECT {INBOX_COLUMNS} FROM rows"),

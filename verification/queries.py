@@ -319,7 +319,7 @@ def seed_products(spark, d):
 def wide_counts(spark, d):
     """Counts per customer and product family, one column for each of five families."""
     rows = _raw(spark, d).withColumn("prod_name", F.col("prod_family"))
-    names = [f"Brand#{i}" for i in range(1, 6)]
+    names = [f"Brand#{i}" for i in range(1, 26)]
     return features.wide_counts(features.purchase_counts(rows), names)
 
 
@@ -438,6 +438,18 @@ def recommend_user_with_feedback(spark, d):
     return recommend.serve(recommend.by_customers(rows), rows)
 
 
+@query
+def recommend_item_with_feedback(spark, d):
+    return recommend.by_products(_with_feedback(spark, d, _rows(spark, d)))
+
+
+@query
+def eval_user_with_feedback(spark, d):
+    rows = _with_feedback(spark, d, _rows(spark, d))
+    predictions = save(recommend.by_customers(rows), "predictions")
+    return evaluate.evaluate_by_customers(predictions, rows, split.train_customers(rows, 1))
+
+
 @query
 def recommend_euclid(spark, d):
     """The older variant: Euclidean, described by history, summed votes, ten products."""
@@ -497,6 +509,14 @@ def all_recos_wide_item(spark, d):
     )
 
 
+@query
+def all_recos_item_csv(spark, d):
+    """The item variant's table with its own column names, written as CSV and read back."""
+    path = new_path(spark, "recos")
+    files.write_csv(all_recos_wide_item(spark, d), path)
+    return files.read_recommendations_csv(spark, path, prefix="prod_name")
+
+
 @query
 def eval_user(spark, d):
     predictions, rows = _kept(_user_picks(spark, d))
