@@ -200,7 +200,8 @@ def _chosen(page: _Page) -> list[bool]:
     head = max(range(count), key=lambda i: (total[i], -i))
     keep = [False] * count
     if total[head] <= 0:
-        return keep
+        # Texts of a letter or two have no density; all that is no link is kept.
+        return [bool(not page.out[i] and not page.linked[i]) for i in range(count)]
     limit, up, around = density[head], head, head
     while up >= 0:
         limit = min(limit, density[up])
