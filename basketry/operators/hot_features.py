@@ -111,8 +111,8 @@ def _groups(entries: DataFrame) -> DataFrame:
     return save(prints.join(reps, same).select("idx", "rep", "sq", "n_entries", "hot_norm"), "groups")
 
 
-def _placed(groups: DataFrame) -> tuple[DataFrame, int | None, int]:
-    """Representatives with their block, the block to visit first, and the number of blocks.
+def _placed(groups: DataFrame) -> tuple[DataFrame, tuple[int, int] | None, int]:
+    """Representatives with their block, the blocks to visit first (least, most), and how many there are.
 
     Blocks are cut inside classes of similar vector length, so that a block is bounded both in rows
     and in entries, however uneven the lengths are.
@@ -133,7 +133,7 @@ def _placed(groups: DataFrame) -> tuple[DataFrame, int | None, int]:
     if not classes:
         return placed, None, 0
     largest = max(classes, key=lambda c: (c.n, c.first))
-    return placed, largest.first, sum(c.last - c.first + 1 for c in classes)
+    return placed, (largest.first, largest.last), sum(c.last - c.first + 1 for c in classes)
 
 
 def _hot_only(problem: Problem, base_hot: DataFrame, query_hot: DataFrame) -> DataFrame:
@@ -149,13 +149,15 @@ def _hot_only(problem: Problem, base_hot: DataFrame, query_hot: DataFrame) -> Da
     base_cells = cells(base_hot, shards)
     query_cells = base_cells if problem.symmetric else cells(query_hot, asked)
 
+    # Query blocks begin at different shards of the largest class, so that none has to serve them all.
+    asked = asked.withColumn("begin", _begin(F.col("block"), first))
     first_visit = asked.select(
-        "rep", F.col("block").alias("q_block"), F.lit(first).cast("long").alias("shard")
+        "rep", F.col("block").alias("q_block"), F.col("begin").alias("shard")
     )
     best = _score(problem, query_cells, base_cells, first_visit)
     if n_shards > 1:
         best = save(best, "first_shard")
-        visits = _further_visits(problem, asked, shards, best, first)
+        visits = _further_visits(problem, asked, shards, best)
         best = best.unionByName(_score(problem, query_cells, base_cells, visits))
     best = top_candidates(best, problem.metric, problem.keep).select("q", "n", "gap")
 
@@ -167,21 +169,28 @@ def _hot_only(problem: Problem, base_hot: DataFrame, query_hot: DataFrame) -> Da
     return found.join(receivers, "rep").select("q", "n", "gap")
 
 
+def _begin(block, first):
+    """A shard of the largest class, chosen by the query's block."""
+    if first is None:
+        return F.lit(None).cast("long")
+    least, most = first
+    return F.lit(least) + F.pmod(F.xxhash64(block), F.lit(most - least + 1))
+
+
 def _smallest_members(groups, keep):
     order = Window.partitionBy("rep").orderBy("idx")
     numbered = groups.select("rep", "idx").withColumn("_n", F.row_number().over(order))
     return numbered.filter(F.col("_n") <= keep).drop("_n")
 
 
-def _further_visits(problem, asked, shards, best, first):
+def _further_visits(problem, asked, shards, best):
     """The other shards whose best case can still beat what the query has."""
     reached = best.withColumn("dist", distance(F.col("gap"), problem.metric)).groupBy("q").agg(
         F.count("*").alias("have"), F.max("dist").alias("reached")
     )
     # One row per shard: the array grows with the number of shards only.
     bounds = (
-        shards.filter(F.col("block") != first)
-        .groupBy("block")
+        shards.groupBy("block")
         .agg(F.max("hot_norm").alias("top_norm"), F.min("sq").alias("least_sq"))
         .agg(F.array_sort(F.collect_list(F.struct("block", "top_norm", "least_sq"))))
         .scalar()
@@ -190,11 +199,12 @@ def _further_visits(problem, asked, shards, best, first):
     def worth(bound):
         gap = (F.col("sq") + bound["least_sq"]) / 2 - F.col("hot_norm") * bound["top_norm"]
         nearest = distance(gap, problem.metric)
-        return (
+        open_ = (
             F.col("have").isNull()
             | (F.col("have") < problem.keep)
             | (nearest <= F.col("reached") + _SLACK)
         )
+        return (bound["block"] != F.col("begin")) & open_
 
     return (
         asked.join(reached, F.col("rep") == F.col("q"), "left")
