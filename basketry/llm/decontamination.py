@@ -230,4 +230,33 @@ def op6_winnowing_decontamination(spark, folder):
     )
 
 
+_SPLIT = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_SQL = f"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {_SPLIT} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, w[i : i + least(10, len(w)) - 1] AS words
+  FROM items, LATERAL unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+docs AS (
+  SELECT doc_id, {_SPLIT} AS w FROM documents),
+places AS (
+  SELECT doc_id, i, size, w[i : i + size - 1] AS words
+  FROM docs, (SELECT DISTINCT size FROM windows), LATERAL unnest(range(1, len(w) - size + 2)) AS u(i)),
+hits AS (
+  SELECT doc_id, i, p.size, item_id FROM places p JOIN windows USING (size, words)),
+covered AS (
+  SELECT doc_id, count(DISTINCT n) AS n_hit
+  FROM hits, LATERAL unnest(range(i, i + size)) AS u(n) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
 QUERIES = {"op6_winnowing_decontamination": op6_winnowing_decontamination}
+ORACLE = {"op6_winnowing_decontamination": _SQL}

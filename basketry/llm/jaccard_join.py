@@ -388,4 +388,38 @@ def op8_ngram_jaccard_join(spark, folder):
     )
 
 
+_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, text, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, w[i : i + 4] AS gram
+  FROM docs, LATERAL unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (
+  SELECT a, b, shared = x.n AND shared = y.n AS same
+  FROM (SELECT g.doc_id AS a, h.doc_id AS b, count(*) AS shared
+        FROM grams g JOIN grams h USING (gram) WHERE g.doc_id <> h.doc_id GROUP BY 1, 2)
+  JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE shared >= 0.8 * (x.n + y.n - shared)
+  UNION ALL
+  SELECT p.doc_id, q.doc_id, true FROM docs p JOIN docs q USING (text)
+  WHERE len(p.w) = 0 AND p.text <> '' AND p.doc_id <> q.doc_id),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+groups AS (SELECT a AS doc_id, min(b) AS group_id FROM reach GROUP BY a),
+classes AS (
+  SELECT docs.doc_id, least(docs.doc_id, coalesce(min(b) FILTER (WHERE same), docs.doc_id)) AS class_id,
+         count(b) FILTER (WHERE same) AS n_copies, count(b) AS n_links
+  FROM docs LEFT JOIN links ON docs.doc_id = a GROUP BY docs.doc_id),
+others AS (
+  SELECT a AS doc_id, count(DISTINCT class_id) AS n_linked_classes
+  FROM links JOIN classes ON b = classes.doc_id WHERE NOT same GROUP BY a)
+SELECT doc_id, class_id, group_id, n_copies, coalesce(n_linked_classes, 0) AS n_linked_classes, n_links
+FROM classes JOIN groups USING (doc_id) LEFT JOIN others USING (doc_id)"""
+
 QUERIES = {"op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+ORACLE = {"op8_ngram_jaccard_join": _SQL}
