@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basketry.operators.positions import with_group_position
 from basketry.operators.split import split_rows
 
 
@@ -41,11 +42,17 @@ def best_products(scored: DataFrame, num_recs: int = 5) -> DataFrame:
 
 
 def unseen_neighbors(
-    seeds: DataFrame, item_neighbors: DataFrame, history: DataFrame, order: str = "name"
+    seeds: DataFrame,
+    item_neighbors: DataFrame,
+    history: DataFrame,
+    order: str = "name",
+    num_recs: int | None = None,
 ) -> DataFrame:
     """Products near a customer's seeds that are not in the customer's history, ranked.
 
-    ``order``: "name" ranks by product name, "distance" by the nearest seed.
+    ``order``: "name" ranks by product name, "distance" by the nearest seed. ``num_recs`` keeps the
+    first so many of each customer, a limit that Spark applies before the shuffle. Without it, whole
+    lists are numbered by a range sort, so one customer may own any share of the rows.
     """
     near = (
         seeds.join(item_neighbors, "prod_name")
@@ -56,8 +63,12 @@ def unseen_neighbors(
         history.select("cont_id", "prod_name").distinct(), ["cont_id", "prod_name"], "left_anti"
     )
     keys = ["prod_name"] if order == "name" else ["dist", "prod_name"]
-    rank = F.row_number().over(Window.partitionBy("cont_id").orderBy(*keys))
-    return fresh.withColumn("rank", rank).select("cont_id", "prod_name", "dist", "rank")
+    if num_recs is None:
+        ranked = with_group_position(fresh, ["cont_id"], keys, "rank")
+    else:
+        rank = F.row_number().over(Window.partitionBy("cont_id").orderBy(*keys))
+        ranked = fresh.withColumn("rank", rank).filter(F.col("rank") <= num_recs)
+    return ranked.select("cont_id", "prod_name", "dist", "rank")
 
 
 def product_variants(purchases: DataFrame) -> DataFrame:

@@ -63,10 +63,12 @@ def by_products(
     weight: str = "count_sq",
     seed: str = "top1",
     order: str = "name",
+    num_recs: int | None = None,
 ) -> DataFrame:
     """Unseen products nearest to what a customer bought: cont_id, prod_name, dist, rank.
 
     ``seed="top1"`` starts from the most bought product only, ``"all"`` from every bought product.
+    ``num_recs`` keeps the first so many per customer; by default all are ranked.
     """
     weights = save(features.quantity_weights(rows, weight), "weights")
     mine = weights if clients is None else weights.join(clients, "cont_id", "left_semi")
@@ -76,7 +78,7 @@ def by_products(
         weights, k=k, queries=asked, id_col="prod_name", feature_col="cont_id"
     )
     past = split.split_rows(rows, split.split_orders(without_suggestions(rows)), "history")
-    return voting.unseen_neighbors(seeds, nearest, past, order)
+    return voting.unseen_neighbors(seeds, nearest, past, order, num_recs)
 
 
 def gated(predictions: DataFrame, rows: DataFrame) -> DataFrame:

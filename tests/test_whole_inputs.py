@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from basketry import storage
-from basketry.operators import features, positions
+from basketry.operators import features, positions, voting
 from basketry.plans import recommend
 from basketry.schemas import PURCHASES
 from basketry.sources import files, star_schema
@@ -73,6 +73,19 @@ def test_stream_and_appends_share_a_folder(spark, rows, tmp_path):
     assert data.purchases().count() == 2
 
 
+def test_limited_and_whole_item_lists_agree(rows):
+    """One customer owns nearly all seeds."""
+    seeds = rows([("c1", f"p{i}") for i in range(60)] + [("c2", "p1")], "cont_id string, prod_name string")
+    near = [(f"p{i}", f"n{(i * 7 + j) % 40:02d}", (i % 9) / 10) for i in range(60) for j in range(4)]
+    near = rows(near, "prod_name string, neighbor_id string, dist double")
+    past = rows([("c1", "n03"), ("c2", "n08")], "cont_id string, prod_name string")
+    for order in ("name", "distance"):
+        whole = voting.unseen_neighbors(seeds, near, past, order).collect()
+        few = voting.unseen_neighbors(seeds, near, past, order, num_recs=5).collect()
+        assert sorted(r for r in whole if r["rank"] <= 5) == sorted(few)
+        assert sum(r.cont_id == "c1" for r in whole) == 39
+
+
 def test_nothing_is_written_where_one_table_exists(spark, rows, tmp_path):
     menu = spark.createDataFrame([], "CAT1 string, prod_family string, prod_subfamily string, prod_name string")
     menu.write.parquet(str(tmp_path / "menu"))
