@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Learning: a bounded sample of labelled documents (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN`` documents of at most
-``SAMPLE_CHARS`` characters, chosen by a hash of the id) goes to the driver. Labels are given per document, so
+``SAMPLE_CHARS`` characters, chosen by a hash of the id) goes to one task. Labels are given per document, so
 token labels come first: a word or word beginning is a mark of toxicity if it turns up in toxic documents
 in far more different surroundings than chance allows (log likelihood ratio) and hardly ever in clean ones.
 Surroundings are counted, not occurrences, so that copies of a document prove nothing. On windows of these
@@ -18,6 +18,8 @@ null, of unknown documents or contradictory (both 0 and 1: left out) teach nothi
 label the score is 0; repeated documents get a row each; other columns are kept and not looked at.
 """
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,13 +36,14 @@ from pyspark.sql.types import (
 from basketry.llm import tables
 from basketry.llm.words import mixed, slices
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 3600, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 3000, 10_000
 HELD_OUT_PARTS, THRESHOLD = 3, 0.7
+ADDED = ("score", "predicted", "toxic_tokens", "spans")
 _SIEVE = 1 << 22
 _PREFIXES = (3, 4, 5, 6, 7, 8)
 #: So many windows around marked tokens, and twice as many around tokens of clean documents, at most.
 WINDOWS = 8000
-_WINDOW, _EPOCHS, _BATCH, _RATE = 16, 12, 512, 0.3
+_WINDOW, _EPOCHS, _STEPS, _BATCH, _RATE = 16, 12, 2000, 256, 0.3
 _PIECE = 512
 
 
@@ -70,8 +73,22 @@ def _beside(words):
     return before, after
 
 
+_KINDS = 1 + len(_PREFIXES) + 3
+
+
+def _feature(words, kind: int) -> np.ndarray:
+    """64-bit hashes of one kind of feature per token: word, beginnings, end, word before, word after; 0: none."""
+    if kind == 0:
+        hashes = words.code
+    elif kind < _KINDS - 2:
+        hashes = _ends(words)[kind - 1]
+    else:
+        hashes = _beside(words)[kind - _KINDS + 2]
+    return np.where(hashes == 0, hashes, mixed(hashes + np.uint64((kind + 1) << 50)))
+
+
 def _features(words) -> list[np.ndarray]:
-    """64-bit feature hashes, an array per kind: word, beginnings, end, word before, word after; 0: none."""
+    """All kinds of features, an array each."""
     hashes = [words.code, *_ends(words), *_beside(words)]
     return [
         np.where(h == 0, h, mixed(h + np.uint64((i + 1) << 50))) for i, h in enumerate(hashes)
@@ -167,10 +184,11 @@ class Chain:
         count = len(self.keys)
         weight, squares = np.zeros(count + 1), np.full(count + 1, 1e-2)
         move_squares, bias_square = np.full((2, 2), 1e-2), 1e-2
-        for _ in range(_EPOCHS):
+        batch = int(np.clip(len(features) // 40, 16, _BATCH))
+        for _ in range(max(_EPOCHS, _STEPS * batch // len(features))):
             order = rng.permutation(len(features))
-            for low in range(0, len(order), _BATCH):
-                at = order[low : low + _BATCH]
+            for low in range(0, len(order), batch):
+                at = order[low : low + batch]
                 part, gold = features[at], labels[at]
                 node, edge = _window_marginals(weight[part].sum(axis=2) + self.bias, self.move)
                 miss = (gold - node) / len(at)
@@ -215,11 +233,12 @@ def _window_marginals(odds, move):
     return both[:, :, 1] / both.sum(axis=2), edge
 
 
-def _marked(features, around, toxic) -> np.ndarray:
+def _marked(feature, around, toxic) -> np.ndarray:
     """Tokens with a word or beginning that marks toxicity: many more surroundings than chance allows."""
     share = min(max(toxic.mean(), 1e-9), 1 - 1e-9)
     out = np.zeros(len(toxic), dtype=bool)
-    for hashes in features[: 1 + len(_PREFIXES)]:
+    for kind in range(1 + len(_PREFIXES)):
+        hashes = feature(kind)
         case = mixed(hashes + around * np.uint64(0x9E3779B97F4A7C15) + toxic.astype(np.uint64))
         first = np.unique(case, return_index=True)[1]
         keys, at = np.unique(hashes[first], return_inverse=True)
@@ -273,13 +292,14 @@ def learn(texts, toxic) -> Chain | None:
     toxic = np.asarray(toxic, dtype=np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    parts = []
-    for first, words in slices(pa.array(texts, pa.string())):
-        parts.append((first, words, _features(words)))
-    rows = np.concatenate([first + words.row for first, words, _ in parts])
-    features = [np.concatenate([p[2][i] for p in parts]) for i in range(len(parts[0][2]))]
-    around = mixed(features[-2] * np.uint64(3) + features[-1])
-    gold = (_marked(features, around, toxic[rows]) & (toxic[rows] == 1)).astype(np.int64)
+    parts = list(slices(pa.array(texts, pa.string())))
+    rows = np.concatenate([first + words.row for first, words in parts])
+
+    def feature(kind):
+        return np.concatenate([_feature(words, kind) for _, words in parts])
+
+    around = mixed(feature(_KINDS - 2) * np.uint64(3) + feature(_KINDS - 1))
+    gold = (_marked(feature, around, toxic[rows]) & (toxic[rows] == 1)).astype(np.int64)
     rng = np.random.default_rng(5)
     bad = rng.permutation(np.flatnonzero(gold))[:WINDOWS]
     free = rng.permutation(np.flatnonzero(toxic[rows] == 0))[: 2 * WINDOWS]
@@ -288,7 +308,7 @@ def learn(texts, toxic) -> Chain | None:
     low = low[(low >= 0) & (low + _WINDOW <= len(rows))]
     at = low[:, None] + np.arange(_WINDOW)
     at = at[rows[at[:, 0]] == rows[at[:, -1]]]
-    inside = [f[at] for f in features]
+    inside = [feature(kind)[at] for kind in range(_KINDS)]
     keys, times = np.unique(np.concatenate([f.ravel() for f in inside]), return_counts=True)
     model = Chain(keys[(times > 2) & (keys > 0)])
     if len(at) and len(bad) and len(model.keys):
@@ -296,8 +316,8 @@ def learn(texts, toxic) -> Chain | None:
     model.prune()
     inputs = np.concatenate(
         [
-            _summary(words, model.marginals(model.odds(part), *_bounds(words)))
-            for _, words, part in parts
+            _summary(words, model.marginals(model.odds(_features(words)), *_bounds(words)))
+            for _, words in parts
         ]
     )
     model.curve = _curve(inputs, toxic)
@@ -311,8 +331,8 @@ def sample(
     toxic: int = SAMPLE_TOXIC,
     clean: int = SAMPLE_CLEAN,
     chars: int = SAMPLE_CHARS,
-):
-    """At most toxic + clean labelled documents for learning, as a pandas frame of text and label."""
+) -> DataFrame:
+    """At most toxic + clean labelled documents for learning: text and toxic."""
     known = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
         .filter(~tables.held_out("doc_id", parts))
@@ -329,7 +349,7 @@ def sample(
     texts = docs.select("doc_id", "text").filter(F.length("text") <= chars)
     # The broadcast side has toxic + clean rows of two numbers at most.
     rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    return rows.distinct().sort(F.xxhash64("text"), "text").toPandas()
+    return rows.distinct()
 
 
 def tag(docs: DataFrame, model: Chain | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -347,8 +367,7 @@ def tag(docs: DataFrame, model: Chain | None, threshold: float = THRESHOLD) -> D
         StructField("toxic_tokens", DoubleType()),
         StructField("spans", ArrayType(span)),
     ]
-    names = [f.name for f in added]
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
     # The text is read, not sent back: what is kept of it is up to the caller.
     schema = StructType([docs.schema[c] for c in kept] + added)
     place = kept.index("text")
@@ -400,13 +419,24 @@ def tag(docs: DataFrame, model: Chain | None, threshold: float = THRESHOLD) -> D
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted to be toxic, with their columns unchanged."""
-    rated = tag(docs, learn_from(docs, labels))
-    return rated.filter("predicted = 0").select(*docs.columns)
+    model = learn_from(docs, labels)
+    # The added columns must not replace any that are there.
+    aside = {c: f"__llm_{c}" for c in docs.columns if c.lower() in ADDED}
+    rated = tag(docs.withColumnsRenamed(aside), model).filter("predicted = 0")
+    return rated.drop(*ADDED).withColumnsRenamed({new: old for old, new in aside.items()})
+
+
+def learn_from(docs: DataFrame, labels: DataFrame, **bounds) -> Chain | None:
+    """The chain of a bounded sample, fitted in one task; only the model comes to the driver."""
 
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("text", "ascending"), ("toxic", "ascending")])
+        model = learn(table["text"].to_pylist(), table["toxic"].to_pylist())
+        return pa.table({"model": [pickle.dumps(model)]})
 
-def learn_from(docs: DataFrame, labels: DataFrame) -> Chain | None:
-    rows = sample(docs, labels)
-    return learn(rows["text"].tolist(), rows["toxic"].tolist())
+    one = sample(docs, labels, **bounds).groupBy(F.lit(1).alias("one"))
+    found = one.applyInArrow(fitted, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def op5_toxicity_crf(spark, folder):
