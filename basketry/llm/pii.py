@@ -1,9 +1,14 @@
 """Format-preserving pseudonyms for personal data, with built-in SQL functions only.
 
-Addresses, numbers and dates are found by one pattern and checked (Luhn, mod 97, ranges, calendar).
-What passes is replaced by its image under a keyed Feistel network over the set of values of the same
+One pattern finds addresses and runs of numbers; within a run, every reading that starts and ends at a group
+is checked (Luhn, mod 97, ranges, calendar), so a number is found whatever digits or capitals stand before
+and after it. What passes is replaced by its image under a keyed Feistel network over the set of values of the same
 format, so the image is again a valid value of that format, and equal values get equal images in every
-document. What fails its check stays as it is.
+document. What no reading of passes stays as it is.
+
+Readings are tried from left to right; of those with the same start the first that passes counts: an account
+number of its country's length, then the longest; dates, addresses and telephone numbers; a card of the usual
+groups, then the longest.
 
 | kind | check | set that is permuted |
 |---|---|---|
@@ -41,8 +46,38 @@ _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _NANP = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 _PHONE = r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]){5,12}"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-_NUMBERS = "|".join([_YMD, _DMY, _IP, _SSN, _NANP, _PHONE, _CARD])
-PATTERN = rf"{_EMAIL}|{_IBAN}|(?<![0-9A-Za-z_])(?<![0-9][.-])(?:{_NUMBERS})(?![0-9A-Za-z_])(?![.-][0-9])"
+_BEHIND, _AHEAD = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+#: Where a number or an account number may begin: four digits at least, whatever divides them.
+_HEAD = r"(?:[+(]?[0-9](?:[ ()./+-]*+[0-9]){3})"
+_IBAN_HEAD = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}[ A-Z0-9])"
+#: A run of numbers: all that any number could take in, but no beginning of an address.
+_RUN = (
+    rf"(?:{_BEHIND}(?<![0-9][.-])(?={_HEAD})|{_IBAN_HEAD})"
+    rf"[A-Z0-9 ()./+_-]*(?:_[0-9A-Za-z_]*+|[A-Z0-9](?![0-9A-Za-z_]))(?![.-][0-9])(?![A-Za-z0-9._%+-]*+@)"
+)
+PATTERN = rf"{_EMAIL}|{_RUN}"
+_STARTS = rf"{_BEHIND}(?={_HEAD})|{_IBAN_HEAD}"
+_OTHERS = [rf"^(?:{p}){_AHEAD}(?![.-][0-9])" for p in (_YMD, _DMY, _IP, _SSN, _NANP, _PHONE)]
+_CARDS = [
+    rf"^(?:{p}){_AHEAD}(?!\.[0-9])"
+    for p in (
+        r"[2-5][0-9]{3}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}",
+        r"3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}",
+        *[rf"[0-9](?:[ -]?[0-9]){{{n}}}" for n in range(18, 11, -1)],
+    )
+]
+_IBANS = [
+    rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{tail}(?![A-Za-z0-9])"
+    for n in range(7, 1, -1)
+    for tail in ("(?: ?[A-Z0-9]{1,3})", "")
+]
+_IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 "
+    "FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+    "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 "
+    "SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()
+_LONGEST = 64  # characters that any reading and what follows it take
 
 
 def _let(value, use) -> Column:
@@ -362,9 +397,86 @@ def kind(found) -> Column:
     )
 
 
-def pseudonym(key: str, found) -> Column:
-    """The image of one find; the find itself where it fails its check."""
-    what = kind(found)
+def _readings(run, at) -> Column:
+    """All readings of a run that begin at this place, the likeliest first; empty where there is none."""
+
+    def of_rest(rest):
+        def taken(patterns):
+            return F.array(*[F.regexp_extract(rest, p, 0) for p in patterns])
+
+        lengths = F.create_map(*[F.lit(x) for c in _IBAN_LENGTHS for x in (c[:2], int(c[2:]))])
+        own = F.try_element_at(lengths, F.substring(rest, 1, 2))
+        ibans = F.when(
+            rest.rlike("^[A-Z]"),
+            _let(
+                taken(_IBANS),
+                lambda x: F.concat(F.filter(x, lambda c: F.length(_only("A-Z0-9", c)) == own), x),
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+        # After a digit and a point nothing begins, after a digit and a hyphen the groups of a card do.
+        before = F.when(at > 2, F.substring(run, at - 2, F.lit(2))).otherwise("")
+        others = F.when(before.rlike("^[0-9][.-]$"), F.array().cast("array<string>")).otherwise(
+            taken(_OTHERS)
+        )
+        cards = F.when(
+            before.rlike(r"^[0-9]\.$") | ~rest.rlike("^[0-9]"), F.array().cast("array<string>")
+        ).otherwise(taken(_CARDS))
+        return F.filter(F.concat(ibans, others, cards), lambda c: c != "")
+
+    return _let(F.substring(run, at, F.lit(_LONGEST)), of_rest)
+
+
+_PIECES = "array<struct<found:string,kind:string>>"
+
+
+def pieces(found) -> Column:
+    """A find cut into readings that pass their checks, with their kind, and what stands between (null kind)."""
+
+    def in_run(run):
+        start = F.struct(
+            F.array().cast(_PIECES).alias("out"), F.lit(1).alias("at"), F.lit(1).alias("done")
+        )
+
+        def piece(text, what):
+            return F.array(F.struct(text.alias("found"), what.cast("string").alias("kind")))
+
+        def first_good(at):
+            tried = F.transform(
+                _readings(run, at), lambda c: F.struct(c.alias("found"), kind(c).alias("kind"))
+            )
+            return F.get(F.filter(tried, lambda c: c["kind"].isNotNull()), F.lit(0))
+
+        def step(state, token):
+            after = state["at"] + F.length(token)
+
+            def go_on(good):
+                gap = F.substring(run, state["done"], state["at"] - state["done"])
+                new = F.concat(state["out"], piece(gap, F.lit(None)), piece(good["found"], good["kind"]))
+                hit = good.isNotNull()
+                return F.struct(
+                    F.when(hit, new).otherwise(state["out"]).alias("out"),
+                    after.alias("at"),
+                    F.when(hit, state["at"] + F.length(good["found"])).otherwise(state["done"]).alias("done"),
+                )
+
+            # What begins within the last reading is none.
+            return _let(F.when(state["at"] >= state["done"], first_good(state["at"])), go_on)
+
+        cut = F.aggregate(F.split(run, _STARTS, -1), start, step)
+        return _let(
+            cut,
+            lambda x: F.concat(
+                x["out"], piece(F.substring(run, x["done"], F.length(run)), F.lit(None))
+            ),
+        )
+
+    whole = F.array(F.struct(found.alias("found"), kind(found).alias("kind"))).cast(_PIECES)
+    return F.when(F.instr(found, "@") > 0, whole).otherwise(in_run(found))
+
+
+def pseudonym(key: str, found, what=None) -> Column:
+    """The image of one value of the kind ``what`` (worked out if not given); the value itself where that is null."""
+    what = kind(found) if what is None else what
     images = {
         "email": _email(key, found),
         "iban": _iban(key, found),
@@ -395,7 +507,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     """
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     between = F.split(F.col(text), PATTERN, -1)
-    images = F.concat(F.transform("__llm_found", lambda x: pseudonym(key, x)), F.array(F.lit("")))
+
+    def image(x):
+        new = F.transform(pieces(x), lambda p: pseudonym(key, p["found"], p["kind"]))
+        return F.array_join(new, "")
+
+    images = F.concat(F.transform("__llm_found", image), F.array(F.lit("")))
     joined = F.array_join(F.zip_with("__llm_between", images, lambda a, b: F.concat(a, b)), "")
     new = F.when(F.size("__llm_found") > 0, joined).otherwise(F.col(text))
     # A find has a digit or an at sign; other texts skip the search.
@@ -413,12 +530,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
 def findings(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """One row per find that passes its check: the row's columns, its place among the row's finds, kind, value, image."""
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    rows = docs.select("*", F.posexplode(found).alias("place", "value"))
+    good = F.filter(F.flatten(F.transform(found, pieces)), lambda p: p["kind"].isNotNull())
+    rows = docs.select("*", F.posexplode(good).alias("place", "__llm_piece"))
     return (
-        rows.withColumn("kind", kind(F.col("value")))
-        .filter(F.col("kind").isNotNull())
-        .withColumn("image", pseudonym(key, F.col("value")))
-        .drop(text)
+        rows.withColumn("value", F.col("__llm_piece.found"))
+        .withColumn("kind", F.col("__llm_piece.kind"))
+        .withColumn("image", pseudonym(key, F.col("value"), F.col("kind")))
+        .drop(text, "__llm_piece")
     )
 
 

@@ -96,3 +96,35 @@ def test_key_matters_and_empty_table(spark):
     # A find with odd surroundings is none.
     odd = spark.createDataFrame([(1, "x" * 50_000 + "1.2.3.4a 12345-45-67890")], "doc_id long, text string")
     assert pii.pseudonymise(odd).first().text == odd.first().text
+
+
+def test_numbers_among_other_digits_and_capitals(spark):
+    cases = [
+        ("card 4111 1111 1111 1111 12/27", {"4111 1111 1111 1111": "card"}),
+        ("card 4111 1111 1111 1111 123 ok", {"4111 1111 1111 1111": "card"}),
+        ("4111-1111-1111-1111-123", {"4111-1111-1111-1111": "card"}),
+        ("4111111111111111 12 27 123", {"4111111111111111": "card"}),
+        ("12 27 4111 1111 1111 1111", {"4111 1111 1111 1111": "card"}),
+        ("amex 3782 822463 10005 12/27", {"3782 822463 10005": "card"}),
+        ("4111 1111 1111 1111 28/02/2001", {"4111 1111 1111 1111": "card", "28/02/2001": "dmy"}),
+        ("1235 123-45-6789", {"123-45-6789": "ssn"}),
+        ("ES91 2100 0418 4502 0005 1332 USD 12", {"ES91 2100 0418 4502 0005 1332": "iban"}),
+        ("to ES9121000418450200051332 CAIX now", {"ES9121000418450200051332": "iban"}),
+        ("GB82 WEST 1234 5698 7654 32 GBP.", {"GB82 WEST 1234 5698 7654 32": "iban"}),
+        (
+            "ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111",
+            {"ES91 2100 0418 4502 0005 1332": "iban", "4111 1111 1111 1111": "card"},
+        ),
+        ("12 34 56 A.LEE@X.ORG 42.144.35.254", {"A.LEE@X.ORG": "email", "42.144.35.254": "ip"}),
+        ("DE89 3704 0044 0532 0130 00_x", {"DE89 3704 0044 0532 0130 00": "iban"}),
+        ("4111 1111 1111 1112 12/27 0.4111111111111111 123-45-67891", {}),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = [{} for _ in cases]
+    for r in pii.findings(df).collect():
+        found[r.doc_id][r.value] = r.kind
+    assert found == [kinds for _, kinds in cases]
+    for (text, kinds), r in zip(cases, pii.pseudonymise(df).sort("doc_id").collect()):
+        # An ip's image has octets of other lengths.
+        assert "ip" in kinds.values() or shape(r.text) == shape(text)
+        assert not any(value in r.text for value in kinds)
