@@ -9,8 +9,11 @@ is high for text with little markup and few links (counts of 0 stand as 1). Text
 a child of its own. The node with the largest sum of child densities heads the main text; the least density
 on the path from it up to the body is the threshold that any other part of the page has to reach to be added.
 An ``article`` or ``main`` around the head takes in what else stands in it. Before all this, parts that are no
-text by their element (scripts, forms, navigation) or by the words of their class, id or role (adverts, notices,
-comments) are left out.
+text by their element (scripts, forms, navigation), hidden parts, and parts marked by the words of their class, id
+or role (adverts, notices, comments) are left out. Such a word does not drop an ``article`` or ``main``, or what is
+around one, if no other has fewer such words on it and around it. Where a word of ``BODIES`` stands beside it ("page
+right-sidebar"), it does not drop the part that holds the head as found without it. If no running text is left, the
+page is read without these words.
 
 The tree is built by the rules that matter for damaged pages: open paragraphs, list items and cells end where
 the next one begins, ends without a beginning are ignored, comments and scripts may be unclosed.
@@ -51,6 +54,11 @@ HINTS = frozenset(
     "respond discussion share sharing social follow related recommended recommendations newsletter subscribe "
     "subscription signup login search form contentinfo skip copyright disclaimer pagination pager tags".split()
 )
+#: Words that, beside such a word, leave open whether the part is the article or around it.
+BODIES = frozenset(
+    "article blog body column columns container content contents entry hentry layout main page pages post story "
+    "text wrap wrapper".split()
+)
 _CLOSED_BY = {
     "li": {"li"},
     "dt": {"dt", "dd"},
@@ -66,37 +74,50 @@ _MARKUP = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: "has-sidebar" is said of a page around a sidebar, not of the sidebar.
 _ABOUT = re.compile(r"\b(?:has|with|no|without|hide)[-_][\w-]*", re.IGNORECASE)
 
 
-def _hinted(attributes: str) -> bool:
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for match in _NAMES.finditer(attributes):
-        value = _ABOUT.sub("", match[1] or match[2] or match[3] or "")
-        if any(w.lower() in HINTS for w in _WORD.findall(value)):
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute says so: ``hidden``, ``aria-hidden`` or a style; other attributes' values do not count."""
+    for match in _ATTRIBUTE.finditer(attributes):
+        name, value = match[1].lower(), match[2] or match[3] or match[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return True
+        if name == "style" and _NOT_SHOWN.search(value):
             return True
     return False
 
 
+def _hinted(attributes: str) -> int:
+    """2 for a part that the words of its class, id or role mark, 1 where a word of ``BODIES`` speaks against it."""
+    marked = body = False
+    for match in _ATTRIBUTE.finditer(attributes):
+        if match[1].lower() in ("class", "id", "role"):
+            value = _ABOUT.sub("", match[2] or match[3] or match[4] or "")
+            words = {w.lower() for w in _WORD.findall(value)}
+            marked = marked or not HINTS.isdisjoint(words)
+            body = body or not BODIES.isdisjoint(words)
+    return (1 if body else 2) if marked else 0
+
+
 class _Page:
     """Nodes in page order; a text is a node without a tag name."""
 
     def __init__(self):
         self.tag, self.parent, self.text, self.linked, self.out = ["body"], [-1], [""], [False], [False]
+        self.hinted = [0]
 
-    def add(self, tag, parent, text="", out=False):
+    def add(self, tag, parent, text="", out=False, hinted=0):
         self.tag.append(tag)
         self.parent.append(parent)
         self.text.append(text)
         self.linked.append(self.linked[parent] or tag == "a")
         self.out.append(out or self.out[parent])
+        self.hinted.append(hinted)
         return len(self.tag) - 1
 
 
@@ -155,9 +176,11 @@ def _parse(source: str) -> _Page:
             out = not any(page.tag[i] in ("article", "main") for i in stack)
         else:
             out = name in LEFT_OUT
-        if not out and name != "main":
-            out = _hinted(attributes)
-        node = page.add(name, stack[-1], "", out)
+        hinted = 0
+        if attributes and name != "main":
+            out = out or _hidden(attributes)
+            hinted = _hinted(attributes)
+        node = page.add(name, stack[-1], "", out, hinted)
         if name not in VOID and not attributes.endswith("/"):
             stack.append(node)
     text(source[last:])
@@ -194,10 +217,54 @@ def _densities(page: _Page):
     return density, total
 
 
+def _head(total) -> int:
+    return max(range(len(total)), key=lambda i: (total[i], -i))
+
+
+def _leave_out_hinted(page: _Page) -> None:
+    if not any(page.hinted):
+        return
+    plain, count = list(page.out), len(page.tag)
+    full = [bool(not page.tag[i] and not page.out[i] and page.text[i].strip()) for i in range(count)]
+    for i in range(count - 1, 0, -1):
+        full[page.parent[i]] = full[page.parent[i]] or full[i]
+    marks, inside, outermost = [0] * count, [False] * count, []
+    for i in range(1, count):
+        up = page.parent[i]
+        marks[i], inside[i] = marks[up] + page.hinted[i], inside[up]
+        if page.tag[i] in ("article", "main"):
+            if full[i] and not inside[i]:
+                outermost.append(i)
+            inside[i] = True
+    least = min((marks[i] for i in outermost), default=0)
+    holds = [False] * count
+    for i in outermost:
+        if marks[i] == least:
+            holds[i] = True
+    for i in range(count - 1, 0, -1):
+        holds[page.parent[i]] = holds[page.parent[i]] or holds[i]
+
+    def leave_out(level):
+        for i in range(1, count):
+            page.out[i] = plain[i] or page.out[page.parent[i]] or (page.hinted[i] >= level and not holds[i])
+
+    leave_out(2)
+    total = _densities(page)[1]
+    head = _head(total)
+    if total[head] <= 0:
+        page.out = plain
+        return
+    while head >= 0:
+        holds[head] = holds[head] or page.hinted[head] == 1
+        head = page.parent[head]
+    leave_out(1)
+
+
 def _chosen(page: _Page) -> list[bool]:
+    _leave_out_hinted(page)
     density, total = _densities(page)
     count = len(page.tag)
-    head = max(range(count), key=lambda i: (total[i], -i))
+    head = _head(total)
     keep = [False] * count
     if total[head] <= 0:
         # Texts of a letter or two have no density; all that is no link is kept.

@@ -76,3 +76,24 @@ def test_columns_and_odd_rows(spark):
     assert out.columns == ["page_id", "tag", "text", "n_chars"]
     assert sorted(r.text for r in out.collect()) == ["", "", "x"]
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><main>{}</main><div class='sidebar'><p>x y z</div></div>",
+        "<div class='layout-sidebar-right'><article>{}</article></div><p>Some other line.</p>",
+        "<div class='page right-sidebar'>{}</div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>",
+        "<article class='post comments-open'>{}</article>",
+        "<main><article class='post comments-open'>{}</article><div id='comments'><ol><li class='comment'>"
+        "<article class='comment-body'><p>" + LINE * 40 + "</p></article></ol></div></main>",
+        "<div id='sidebar'>{}</div>",
+        "<div title='The hidden cost'>{}</div>",
+        "<div data-x='display: none'>{}</div><div hidden><p>" + LINE * 40 + "</p></div>",
+        "<article>{}</article><div class='related'><article><p>" + LINE * 40 + "</p></article></div>",
+        "<article>{}</article><div style='display:none' class='a'>" + LINE * 40 + "</div>",
+    ],
+)
+def test_words_of_a_wrapper_do_not_drop_the_article(page):
+    body = f"<p>{LINE * 5}</p><p>{LINE * 3}</p>"
+    assert main_text(page.format(body)) == "\n".join([(LINE * 5).strip(), (LINE * 3).strip()])
