@@ -38,3 +38,7 @@ def test_equal_to_sql(spark, name):
 )
 def test_row_counts(spark, name, count):
     assert QUERIES[name](spark, FOLDER).count() == count
+
+
+def test_item_evaluation_with_feedback_equals_sql(spark):
+    assert compare(spark, database(FOLDER), FOLDER, "eval_item_with_feedback") is None

@@ -373,6 +373,16 @@ QUALIFY neighbor_rank <= 10"""),
             "SELECT count(*) FROM (SELECT DISTINCT cont_id, prod_name FROM fed)",
         ),
     ),
+    "eval_item_with_feedback": sql(
+        FEEDBACK + by_products("fed", past="rows") + gated("fed") + unrolled('"CAT1"', 3)
+        + [TARGET_ROWS.format(src="rows")],
+        ratios(
+            """SELECT count(*) FROM placed p WHERE EXISTS (SELECT 1 FROM target_rows t
+               WHERE t.cont_id = p.cont_id AND t.prod_name = p.prod_name)""",
+            "SELECT count(*) FROM placed",
+            "SELECT count(*) FROM target_rows",
+        ),
+    ),
     "recommend_euclid": sql(
         ROWS + orders("rows") + [TRAINING_ROWS.format(src="rows", n=5)] + weights("rows")
         + weights("history_rows", "_h") + ["base AS (SELECT * FROM weights_h)",

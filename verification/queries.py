@@ -450,6 +450,13 @@ def eval_user_with_feedback(spark, d):
     return evaluate.evaluate_by_customers(predictions, rows, split.train_customers(rows, 1))
 
 
+@query
+def eval_item_with_feedback(spark, d):
+    rows = _with_feedback(spark, d, _rows(spark, d))
+    predictions = save(recommend.by_products(rows), "predictions")
+    return evaluate.evaluate_by_products(predictions, rows)
+
+
 @query
 def recommend_euclid(spark, d):
     """The older variant: Euclidean, described by history, summed votes, ten products."""
