@@ -7,6 +7,7 @@ from basketry.llm import (
     main_text,
     order_minhash,
     packing,
+    periodic_runs,
     pii,
     pitman_yor,
     token_counts,
@@ -24,6 +25,7 @@ MODULES = (
     jaccard_join,
     main_text,
     language,
+    periodic_runs,
 )
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
