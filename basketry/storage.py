@@ -42,6 +42,15 @@ def save(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hand_over(df: DataFrame, label: str = "step") -> DataFrame:
+    """Like ``save``, but the table belongs to the scope around the present one, which may then end."""
+    path = new_path(df.sparkSession, label)
+    _scopes[-1].remove(path)
+    _scopes[max(len(_scopes) - 2, 0)].append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete what was written in the present scope, once no result needs it any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
