@@ -5,6 +5,7 @@ from basketry.llm import (
     jaccard_join,
     language,
     main_text,
+    near_dedup,
     order_minhash,
     packing,
     periodic_runs,
@@ -25,6 +26,7 @@ MODULES = (
     jaccard_join,
     main_text,
     language,
+    near_dedup,
     periodic_runs,
 )
 

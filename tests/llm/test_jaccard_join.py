@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from basketry.llm import jaccard_join
+from basketry.llm import gram_sets, jaccard_join
 from basketry.llm.components import components
 from tests.llm.plain import grams, groups, jaccard
 
@@ -66,7 +66,7 @@ def test_shared_counts_equal_plain_sets():
     sets = [set(rng.choice(60, rng.integers(1, 50), replace=False).tolist()) for _ in range(70)]
     sets += [set(range(60)) - {i} for i in range(70)]
     entries = [(g, i) for i, s in enumerate(sets) for g in sorted(s)]
-    got = jaccard_join._shared(
+    got = gram_sets.shared_counts(
         np.array([g for g, _ in entries], dtype=np.uint64), np.array([i for _, i in entries]), len(sets)
     )
     want = [[len(a & b) for b in sets] for a in sets]
