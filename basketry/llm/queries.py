@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where there is one, the same query in SQL."""
 
 from basketry.llm import (
+    conversation_repair,
     decontamination,
     jaccard_join,
     language,
@@ -26,6 +27,7 @@ MODULES = (
     jaccard_join,
     main_text,
     language,
+    conversation_repair,
     near_dedup,
     periodic_runs,
 )
