@@ -3,9 +3,11 @@
 A text's k-mers are its runs of ``K`` words (a shorter text is one k-mer). The i-th occurrence of a k-mer counts
 as an element of its own. Each element's hash gives it a place in one of ``TUPLES`` x ``LENGTH`` cells and a
 rank there; the least element of each cell is selected (one permutation, dealt into cells, instead of one
-permutation per element). The selected k-mers of the cells of one tuple are put in text order and hashed
-together, so a tuple changes if words change and also if they change places. The likeness of two
-fingerprints is the share of equal tuples among those that either has.
+permutation per tuple). A tuple with an empty cell takes the ``LENGTH`` least elements of the whole text under a
+permutation of its own instead, so every tuple of a text with as many elements has ``LENGTH`` of them. The
+selected k-mers of one tuple are put in text order and hashed together, so a tuple changes if words change and
+also if they change places. The likeness of two fingerprints is the share of equal tuples among those that
+either has.
 
 All of it happens inside a row, on sorted arrays of 64-bit numbers: no row per k-mer is made. Only ``edits`` moves
 texts: once, to buckets of neighbouring ids.
@@ -90,20 +92,33 @@ def fingerprint(text, k: int = K, tuples: int = TUPLES, length: int = LENGTH) ->
     def of_grams(grams):
         ordered = F.sort_array(F.transform(grams, lambda g, i: _packed(g, i)))
         return _let(
-            _selected(_let(ordered, ranked), cells, bits), lambda chosen: in_order(grams, chosen)
+            _let(ordered, ranked),
+            lambda elements: _let(
+                _selected(elements, cells, bits), lambda chosen: in_order(grams, elements, chosen)
+            ),
         )
 
-    def in_order(grams, chosen):
+    def least_of_all(elements, number):
+        """Places of the least elements of the whole text under the permutation of this tuple."""
+
+        def rank(x):
+            return _packed(F.xxhash64(_high(x), number), x.bitwiseAND(F.lit(_PLACES)))
+
+        least = F.slice(F.sort_array(F.transform(elements, rank)), 1, length)
+        return F.transform(least, lambda x: x.bitwiseAND(F.lit(_PLACES)))
+
+    def in_order(grams, elements, chosen):
         def one(number):
             low = number * length
+            cells = [F.get(chosen, low + j).bitwiseAND(F.lit(_PLACES)) for j in range(length)]
             places = F.array_sort(
-                F.array(
-                    *[F.get(chosen, low + j).bitwiseAND(F.lit(_PLACES)) for j in range(length)]
+                F.when(F.greatest(*cells) < _PLACES, F.array(*cells)).otherwise(
+                    least_of_all(elements, number)
                 )
             )
 
             def hashed(places):
-                kmers = [F.get(grams, places[j].cast("int")) for j in range(length)]
+                kmers = [F.get(grams, F.get(places, F.lit(j)).cast("int")) for j in range(length)]
                 code = F.xxhash64(*kmers).bitwiseAND(F.lit(0xFFFFFFFF))
                 return F.when(kmers[0].isNotNull(), code)
 
