@@ -1,8 +1,12 @@
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
+from basketry.llm import main_text as main_text_module
 from basketry.llm.main_text import extract, main_text, op9_text_density
 
 LINE = "A sentence of the article that says something, at some length. "
@@ -97,3 +101,99 @@ def test_columns_and_odd_rows(spark):
 def test_words_of_a_wrapper_do_not_drop_the_article(page):
     body = f"<p>{LINE * 5}</p><p>{LINE * 3}</p>"
     assert main_text(page.format(body)) == "\n".join([(LINE * 5).strip(), (LINE * 3).strip()])
+
+
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ("<section id='discussion'><h2>Discussion</h2><p>{}</p></section>", "Discussion\n{}"),
+        ("<section id='related-work'><h2>Related work</h2><p>{}</p></section>", "Related work\n{}"),
+        ("<p class='follow-up'>{}</p>", "{}"),
+        ("<h2 id='comments'>Comments</h2><p>{}</p>", "Comments\n{}"),
+        ("<h2 id='search'>Search</h2><p>{}</p>", "Search\n{}"),
+        ("<section id='comments'><h2>9 comments</h2><ol><li class='comment'><p>{}</p></ol></section>", ""),
+        ("<div class='ad'>{}</div>", ""),
+        ("<div id='share'><a href=1>Share</a> <a href=2>Tweet</a></div>", ""),
+    ],
+)
+def test_names_of_parts_inside_the_text(part, text):
+    body = f"<p>{LINE * 5}</p><p>{LINE * 3}</p>"
+    line = (LINE * 4).strip()
+    want = [(LINE * 5).strip(), (LINE * 3).strip(), *([text.format(line)] if text else [])]
+    for page in ("<article>{}</article>", "<main><h1>T</h1>{}</main><footer>F</footer>", "<div>{}</div>"):
+        got = main_text(page.format(body + part.format(line))).split("\n")
+        assert [x for x in got if x != "T"] == "\n".join(want).split("\n")
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a \"", "<a x=\"", "<a x='>", "<!", "<script ", "<", "<!-", "<b>", "<b></i>", "<h2>x</h2>", "<a b", "</script ", "&", "<p><i>"],
+)
+def test_damaged_markup_takes_linear_time(piece):
+    for source in (piece * (65_536 // len(piece)), "<p>q</p>" + piece * (65_536 // len(piece)) + ">x"):
+        start = time.process_time()
+        main_text(source)
+        assert time.process_time() - start < 1.5
+
+
+def test_unbalanced_quotes_lose_no_text():
+    assert main_text("<p title=\"x>one</p><p>two</p>") == "one\ntwo"
+    assert main_text("<p title=\"a > b\" x='>'>one</p>") == "one"
+    assert main_text("<p>it's <b>\"so\"</b></p>") == "it's \"so\""
+
+
+def test_densities_by_their_definition():
+    rng = random.Random(4)
+
+    def page(depth):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.4 or depth == 0:
+                out += rng.choice(["word ", "some words here ", LINE])
+            else:
+                tag = rng.choice(["div", "b", "section", "a", "i"])
+                out += f"<{tag}>{page(depth - 1)}</{tag}>"
+        return out
+
+    for _ in range(60):
+        tree = main_text_module._parse(page(4))
+        density, total = main_text_module._densities(tree)
+        count = len(tree.tag)
+
+        def below(i):
+            return [j for j in range(count) if j != i and i in ancestors(j)]
+
+        def ancestors(j):
+            while tree.parent[j] >= 0:
+                j = tree.parent[j]
+                yield j
+
+        def in_link(j):
+            return tree.tag[j] == "a" or any(tree.tag[k] == "a" for k in ancestors(j))
+
+        def counts(i):
+            nodes = [i, *below(i)]
+            texts = [j for j in nodes if not tree.tag[j]]
+            tags = [j for j in nodes if tree.tag[j] and j != i]
+            size = {j: len("".join(tree.text[j].split())) for j in texts}
+            return (
+                sum(size.values()),
+                len(tags),
+                sum(size[j] for j in texts if in_link(j)),
+                sum(in_link(j) for j in tags),
+            )
+
+        c_body, _, lc_body, _ = counts(0)
+        want = []
+        for i in range(count):
+            c, t, lc, lt = counts(i)
+            if not c:
+                want.append(0.0)
+                continue
+            base = math.log(c / max(c - lc, 1) * max(lc, 1) + lc_body / max(c_body, 1) * c + math.e)
+            ratio = max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)
+            want.append(max(c / max(t, 1) * math.log(ratio) / math.log(base), 0.0))
+        assert density == pytest.approx(want)
+        for i in range(count):
+            assert total[i] == pytest.approx(sum(want[j] for j in range(count) if tree.parent[j] == i))
