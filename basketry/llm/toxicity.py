@@ -179,16 +179,23 @@ class Chain:
         both = ahead * behind
         return both[:, 1] / both.sum(axis=1)
 
-    def fit(self, features, labels, rng):
-        """AdaGrad on the log likelihood of equally long windows (windows, tokens, places of features)."""
+    def fit(self, windows, rng):
+        """AdaGrad on the log likelihood of windows, given as groups of one length each.
+
+        A group is (windows, tokens, places of features) and labels; a batch holds windows of one group.
+        """
         count = len(self.keys)
         weight, squares = np.zeros(count + 1), np.full(count + 1, 1e-2)
         move_squares, bias_square = np.full((2, 2), 1e-2), 1e-2
-        batch = int(np.clip(len(features) // 40, 16, _BATCH))
-        for _ in range(max(_EPOCHS, _STEPS * batch // len(features))):
-            order = rng.permutation(len(features))
-            for low in range(0, len(order), batch):
-                at = order[low : low + batch]
+        total = sum(len(labels) for _, labels in windows)
+        batch = int(np.clip(total // 40, 16, _BATCH))
+        for _ in range(max(_EPOCHS, _STEPS * batch // total)):
+            orders = [rng.permutation(len(labels)) for _, labels in windows]
+            parts = [(g, low) for g, order in enumerate(orders) for low in range(0, len(order), batch)]
+            for turn in rng.permutation(len(parts)):
+                group, low = parts[turn]
+                features, labels = windows[group]
+                at = orders[group][low : low + batch]
                 part, gold = features[at], labels[at]
                 node, edge = _window_marginals(weight[part].sum(axis=2) + self.bias, self.move)
                 miss = (gold - node) / len(at)
@@ -304,15 +311,19 @@ def learn(texts, toxic) -> Chain | None:
     bad = rng.permutation(np.flatnonzero(gold))[:WINDOWS]
     free = rng.permutation(np.flatnonzero(toxic[rows] == 0))[: 2 * WINDOWS]
     centre = np.concatenate([bad, free])
-    low = centre - rng.integers(0, _WINDOW, len(centre))
-    low = low[(low >= 0) & (low + _WINDOW <= len(rows))]
-    at = low[:, None] + np.arange(_WINDOW)
-    at = at[rows[at[:, 0]] == rows[at[:, -1]]]
-    inside = [feature(kind)[at] for kind in range(_KINDS)]
-    keys, times = np.unique(np.concatenate([f.ravel() for f in inside]), return_counts=True)
+    # A window at the edge of a text is moved into it; a text shorter than a window is one.
+    first = np.searchsorted(rows, rows[centre])
+    beyond = np.searchsorted(rows, rows[centre], side="right")
+    low = np.maximum(first, np.minimum(centre - rng.integers(0, _WINDOW, len(centre)), beyond - _WINDOW))
+    length = np.minimum(_WINDOW, beyond - first)
+    places = [low[length == n][:, None] + np.arange(n) for n in np.unique(length)]
+    kinds = [feature(kind) for kind in range(_KINDS)]
+    inside = np.concatenate([f[at].ravel() for f in kinds for at in places] or [kinds[0][:0]])
+    keys, times = np.unique(inside, return_counts=True)
     model = Chain(keys[(times > 2) & (keys > 0)])
-    if len(at) and len(bad) and len(model.keys):
-        model.fit(np.stack([model.places(f) for f in inside], axis=2), gold[at], rng)
+    if len(bad) and len(model.keys):
+        windows = [(np.stack([model.places(f[at]) for f in kinds], axis=2), gold[at]) for at in places]
+        model.fit(windows, rng)
     model.prune()
     inputs = np.concatenate(
         [
@@ -342,14 +353,16 @@ def sample(
         .drop("_most")
     )
     order = F.xxhash64("doc_id")
+    # Places go to documents that may be learned from, and to one text of an id that several have.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("key")).filter(F.length("text") <= chars)
+    known = texts.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("key").alias("key"))
     picked = (
         known.filter("toxic = 1").orderBy(order, "doc_id").limit(toxic)
         .unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(clean))
     )
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= chars)
-    # The broadcast side has toxic + clean rows of two numbers at most.
-    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    return rows.distinct()
+    # The broadcast side has toxic + clean rows of three numbers at most.
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return keyed.join(F.broadcast(picked), ["doc_id", "key"]).select("text", "toxic").distinct()
 
 
 def tag(docs: DataFrame, model: Chain | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -107,3 +107,31 @@ def test_long_text(known):
     words = next(slices(pa.array(["the idiot " + "of the end " * 100_000])))[1]
     p = model.marginals(model.odds(toxicity._features(words)), *toxicity._bounds(words))
     assert len(p) == 300_002 and p[1] > 0.5 and p[1000:].max() < 0.5
+
+
+def test_short_texts_teach():
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}x" for i in range(300)]
+    texts, toxic = [], []
+    for i in range(800):
+        words = list(rng.choice(vocabulary, 8 - i % 5))
+        if i % 2:
+            words[rng.integers(len(words))] = "vile"
+        texts.append(" ".join(words))
+        toxic.append(i % 2)
+    model = toxicity.learn(texts, toxic)
+    words = next(slices(pa.array(["w1x w2x vile", "w1x w2x w3x", "vile"])))[1]
+    p = model.marginals(model.odds(toxicity._features(words)), *toxicity._bounds(words))
+    assert p[2] > 0.9 and p[6] > 0.5 and max(p[0], p[1], *p[3:6]) < 0.1
+    score = 1 / (1 + np.exp(-toxicity._summary(words, p) @ model.curve))
+    assert score[0] > 0.9 and score[1] < 0.1
+
+
+def test_sample_places_go_to_documents_that_count(spark):
+    docs = spark.createDataFrame(
+        [(i, "x" * 50 if i < 90 else f"word {i}") for i in range(100)] + [(95, "other")] * 5,
+        "doc_id long, text string",
+    )
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, toxic=2, clean=2, chars=10).collect()
+    assert sorted(r.toxic for r in rows) == [0, 0, 1, 1]
