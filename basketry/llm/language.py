@@ -4,23 +4,24 @@ The pieces are those of a fixed public vocabulary. A language gives every piece
 probability of all ways to cut it into pieces together, which a forward pass over its bytes sums. A text has the
 product over its words, and Bayes' rule with the shares of the languages gives the score.
 
-Learning: a bounded sample (``SAMPLE`` documents a language, chosen by a hash of the id, of at most
-``SAMPLE_CHARS`` characters) goes to the driver; expectation maximisation over all segmentations
-(forward-backward) fits the pieces of each language, smoothed by those of all. The number of languages is that of the
-labels.
+Learning: a bounded sample (``SAMPLE`` texts a language, chosen by a hash, of at most ``SAMPLE_CHARS``
+characters) goes to one task; expectation maximisation over all segmentations (forward-backward) fits the pieces
+of each language, smoothed by those of all. The number of languages is that of the labels; a few of them are worked
+on at a time, so memory does not grow with them but for the model itself.
 
 Scoring: the vocabulary is a trie over bytes; all words of a slice that have not been met yet are walked
 through at once with NumPy, and a worker keeps the scores of a bounded number of words.
 
-Words are those of the other word operators (A-Z lower-cased); one of more than ``PART`` bytes is cut into
-parts of that size, each part of which is scored as a word of its own without the mark of a word's beginning. A character
-that the vocabulary lacks has a fixed small probability in every language.
+Words are those of the other word operators (A-Z lower-cased), of any length: the sums are scaled every few bytes,
+so they do not vanish. A character that the vocabulary lacks has a fixed small probability in every language.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; documents without a language teach nothing;
 without any labelled document all are ``und``; a tie goes to the language that is first by name; repeated documents
 get a row each; other columns are kept and not looked at.
 """
 
+import pickle
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -34,7 +35,10 @@ from basketry.llm.words import slices
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE, SAMPLE_CHARS, HELD_OUT_PARTS = 400, 20_000, 3
-PART, KEPT_WORDS = 30, 300_000
+_SHARDS = 64
+KEPT_WORDS = 300_000
+#: Sums are scaled at every so many bytes; words x bytes x languages of one pass.
+_EVERY, _CELLS = 16, 1 << 21
 _MARK = "▁".encode()
 _UNKNOWN = 1e-7  # of a character, beside the pieces that have it
 _ROUNDS, _SHARED = 4, 0.02
@@ -62,6 +66,8 @@ class Trie:
             piece[node] = i
         self.size = model.get_piece_size()
         self.piece = np.array(piece, dtype=np.int32)
+        # How far ahead a piece, or a single character, reaches.
+        self.reach = max(4, *(len(model.id_to_piece(i).encode()) for i in range(self.size)))
         used = sorted({byte for c in children for byte in c})
         self.column = np.zeros(256, dtype=np.int32)
         self.column[used] = np.arange(1, len(used) + 1)
@@ -112,42 +118,75 @@ def _char_ends(table, length):
     return np.where(begins, end, 0)
 
 
-def forward(vocabulary: Trie, table, length, chances):
-    """(log probability per word and language, alpha, matches); ``chances``: (pieces, languages)."""
+def _scaled(values: np.ndarray) -> np.ndarray:
+    """Divide (words, places, languages) in place by its greatest value a word and language; logs of those."""
+    most = values.max(axis=1)
+    most[most <= 0] = 1
+    values /= most[:, None]
+    return np.log(most)
+
+
+def forward(vocabulary: Trie, table, length, chances, kept=None):
+    """(log probability per word and language, alpha, its log scales by word and block of bytes, matches).
+
+    ``chances``: (pieces, languages). ``kept``: the matches of an earlier call with these words.
+    """
     count, languages = len(table), chances.shape[1]
     alpha = np.zeros((count, table.shape[1] + 1, languages))
     alpha[:, 0] = 1
+    scale = np.zeros((count, table.shape[1] // _EVERY + 1, languages))
     ends = _char_ends(table, length)
-    kept = []
-    for start, found in vocabulary.matches(table, length):
+    kept = list(vocabulary.matches(table, length)) if kept is None else kept
+    for start, found in kept:
+        if start and start % _EVERY == 0:
+            logs = _scaled(alpha[:, start : start + vocabulary.reach + 1])
+            scale[:, start // _EVERY :] += logs[:, None]
         rows = np.flatnonzero(ends[:, start])
         alpha[rows, ends[rows, start]] += alpha[rows, start] * _UNKNOWN
         for end, words, pieces in found:
             alpha[words, end] += alpha[words, start] * chances[pieces]
-        kept.append((start, found))
-    last = alpha[np.arange(count), length]
-    return np.log(np.maximum(last, 1e-300)), alpha, kept
+    rows = np.arange(count)
+    total = np.log(np.maximum(alpha[rows, length], 1e-300)) + scale[rows, length // _EVERY]
+    return total, alpha, scale, kept
 
 
-def expected(vocabulary: Trie, table, length, chances, weight):
+def expected(vocabulary: Trie, table, length, chances, weight, kept=None):
     """Expected number of each piece in words that occur ``weight`` times each (words, languages)."""
-    _, alpha, kept = forward(vocabulary, table, length, chances)
+    total, alpha, scale, kept = forward(vocabulary, table, length, chances, kept)
     rows = np.arange(len(table))
     beta = np.zeros_like(alpha)
     beta[rows, length] = 1
+    behind = np.zeros_like(total)
     ends = _char_ends(table, length)
-    total = weight / np.maximum(alpha[rows, length], 1e-300)
     out = np.zeros_like(chances)
     for start, found in reversed(kept):
+        if (start + 1) % _EVERY == 0:
+            # What a start reaches is in the scale of that start.
+            behind += _scaled(beta[:, start + 1 : start + 1 + vocabulary.reach])
+        factor = weight * np.exp(scale[:, start // _EVERY] + behind - total) * alpha[:, start]
         for end, words, pieces in found:
             part = chances[pieces] * beta[words, end]
             beta[words, start] += part
-            np.add.at(out, pieces, alpha[words, start] * part * total[words])
+            np.add.at(out, pieces, factor[words] * part)
         there = np.flatnonzero(ends[:, start])
         beta[there, start] += _UNKNOWN * beta[there, ends[there, start]]
     return out
 
 
+def _batches(sizes: np.ndarray, languages: int):
+    """(indexes of words of similar length, languages at a time): bounded tables."""
+    order = np.argsort(sizes, kind="stable")
+    # Sorted by length, the last word of a batch is its widest; lengths are rounded up to powers of two.
+    rounded = 1 << np.ceil(np.log2(sizes[order] + 1)).astype(np.int64)
+    low = 0
+    while low < len(order):
+        most = max(1, _CELLS // 8 // int(rounded[low]))
+        high = min(low + most, int(np.searchsorted(rounded, rounded[low], side="right")))
+        at = order[low:high]
+        yield at, max(1, min(languages, _CELLS // (len(at) * int(rounded[low]))))
+        low = high
+
+
 def _table(pieces: list[bytes]):
     """Words as rows of bytes, padded with 0, and their lengths."""
     length = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -156,18 +195,6 @@ def _table(pieces: list[bytes]):
     return joined.reshape(len(pieces), width), length
 
 
-def _parts(word: bytes):
-    """The word with its mark, in parts of at most PART bytes that end with a character."""
-    word = _MARK + word
-    while len(word) > PART:
-        cut = PART
-        while cut > 1 and (word[cut] & 0xC0) == 0x80:
-            cut -= 1
-        yield word[:cut]
-        word = word[cut:]
-    yield word
-
-
 def learn(texts, langs, path: str | None = None):
     """(languages, log shares, chances of the pieces); None without a labelled text."""
     names = sorted({x for x in langs if x is not None})
@@ -180,9 +207,8 @@ def learn(texts, langs, path: str | None = None):
         lang = row_lang[first + words.row]
         raw = words.data.tobytes()
         for start, end, one in zip(words.start.tolist(), words.end.tolist(), lang.tolist()):
-            for part in _parts(raw[start:end]):
-                cell = counts.setdefault(part, {})
-                cell[one] = cell.get(one, 0) + 1
+            cell = counts.setdefault(_MARK + raw[start:end], {})
+            cell[one] = cell.get(one, 0) + 1
     vocabulary = trie(path)
     pieces = list(counts)
     weight = np.zeros((len(pieces), len(names)))
@@ -190,11 +216,17 @@ def learn(texts, langs, path: str | None = None):
         for one, times in counts[part].items():
             weight[i, one] = times
     chances = np.full((vocabulary.size, len(names)), 1 / vocabulary.size)
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     for _ in range(_ROUNDS):
         total = np.zeros_like(chances)
-        for low in range(0, len(pieces), 20_000):
-            table, length = _table(pieces[low : low + 20_000])
-            total += expected(vocabulary, table, length, chances, weight[low : low + 20_000])
+        for at, wide in _batches(sizes, len(names)):
+            table, length = _table([pieces[i] for i in at])
+            kept = list(vocabulary.matches(table, length))
+            for one in range(0, len(names), wide):
+                some = slice(one, one + wide)
+                total[:, some] += expected(
+                    vocabulary, table, length, chances[:, some], weight[at, some], kept
+                )
         own = (total + 1e-3) / (total + 1e-3).sum(axis=0)
         every = total.sum(axis=1, keepdims=True) + 1e-2
         chances = (1 - _SHARED) * own + _SHARED * every / every.sum()
@@ -238,50 +270,63 @@ class _Scorer:
         return out
 
     def _score(self, words, which):
-        raw = words.data.tobytes()
-        parts, owner = [], []
-        for i, w in enumerate(which.tolist()):
-            for part in _parts(raw[words.start[w] : words.end[w]]):
-                parts.append(part)
-                owner.append(i)
-        owner = np.array(owner)
-        out = np.zeros((len(which), self.chances.shape[1]))
-        sizes = np.array([len(p) for p in parts])
-        order = np.argsort(sizes, kind="stable")
-        for low in range(0, len(order), 8192):
-            at = order[low : low + 8192]
-            table, length = _table([parts[i] for i in at])
-            scores, _, _ = forward(self.vocabulary, table, length, self.chances)
-            np.add.at(out, owner[at], scores)
+        raw, languages = words.data.tobytes(), self.chances.shape[1]
+        marked = [_MARK + raw[words.start[w] : words.end[w]] for w in which.tolist()]
+        out = np.zeros((len(which), languages))
+        for at, wide in _batches(np.array([len(p) for p in marked], dtype=np.int64), languages):
+            table, length = _table([marked[i] for i in at])
+            kept = None
+            for one in range(0, languages, wide):
+                some = slice(one, one + wide)
+                found = forward(self.vocabulary, table, length, self.chances[:, some], kept)
+                out[at, some], kept = found[0], found[3]
         return out
 
 
 def sample(
     docs: DataFrame, parts: int = HELD_OUT_PARTS, rows: int = SAMPLE, chars: int = SAMPLE_CHARS
-):
-    """At most ``rows`` documents of each language for learning, as a pandas frame of text and lang."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+) -> DataFrame:
+    """At most ``rows`` texts of each language for learning: text and lang."""
     known = docs.filter(
         F.col("lang").isNotNull()
         & F.col("text").isNotNull()
         & F.col("doc_id").isNotNull()
         & (F.length("text") <= chars)
         & ~tables.held_out("doc_id", parts)
-    )
-    # Ids alone are ranked; Spark cuts to the first rows of each language before the shuffle.
+    ).select("doc_id", "lang", "text", F.xxhash64("text").alias("key"))
+    # Keys alone are ranked, first in shards of a language, so no task sees a whole language.
+    by_hash = [F.xxhash64("doc_id"), "doc_id", "key"]
+    shard = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(_SHARDS))
+    in_shard = Window.partitionBy("lang", "shard").orderBy(*by_hash)
+    in_all = Window.partitionBy("lang").orderBy(*by_hash)
     picked = (
-        known.select("doc_id", "lang")
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= rows)
-        .select("doc_id", "lang")
+        known.select("doc_id", "lang", "key", shard.alias("shard"))
+        .distinct()
+        .withColumn("rank", F.row_number().over(in_shard))
+        .filter(F.col("rank") <= rows)
+        .withColumn("rank", F.row_number().over(in_all))
+        .filter(F.col("rank") <= rows)
+        .select("doc_id", "lang", "key")
     )
-    texts = known.select("doc_id", "lang", "text").join(picked.distinct(), ["doc_id", "lang"])
-    return texts.select("text", "lang").distinct().sort(F.xxhash64("text"), "lang").toPandas()
+    return known.join(picked, ["doc_id", "lang", "key"]).select("text", "lang").distinct()
+
+
+def learn_from(docs: DataFrame, path: str | None = None, **bounds):
+    """The model of a bounded sample, fitted in one task; only the model comes to the driver."""
+
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("text", "ascending"), ("lang", "ascending")])
+        model = learn(table["text"].to_pylist(), table["lang"].to_pylist(), path)
+        return pa.table({"model": [pickle.dumps(model)]})
+
+    one = sample(docs, **bounds).groupBy(F.lit(1).alias("one"))
+    found = one.applyInArrow(fitted, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def identify(docs: DataFrame, model, path: str | None = None) -> DataFrame:
     """``docs`` with lang_pred and score; the text is read, and kept as the other columns are."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     schema = StructType(
         [docs.schema[c] for c in kept]
         + [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
@@ -322,8 +367,7 @@ def identify(docs: DataFrame, model, path: str | None = None) -> DataFrame:
 
 def op10_language_id(spark, folder):
     docs = tables.read(spark, folder, "documents").select("doc_id", "text", "lang")
-    known = sample(docs)
-    model = learn(known["text"].tolist(), known["lang"].tolist())
+    model = learn_from(docs)
     return identify(docs.select("doc_id", "text"), model).select(
         "doc_id", tables.held_out("doc_id", HELD_OUT_PARTS).alias("held_out"), "lang_pred", "score"
     )
