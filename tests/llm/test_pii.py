@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ TEXTS = [
 def masked(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     df = df.withColumns({"n_chars": F.length("text"), "kind": F.lit("k"), "found": F.lit(1)})
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, "k")
     assert out.columns == df.columns
     return [r for r in out.sort("doc_id").collect()]
 
@@ -90,12 +91,12 @@ def test_small_network_is_a_permutation(spark):
 def test_key_matters_and_empty_table(spark):
     df = spark.createDataFrame([(1, TEXTS[1], "e")], "doc_id long, text string, __extra string")
     assert pii.pseudonymise(df, "a").first().text != pii.pseudonymise(df, "b").first().text
-    assert pii.pseudonymise(df.limit(0)).count() == 0
-    kinds = [r.kind for r in pii.findings(df).sort("place").collect()]
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
+    kinds = [r.kind for r in pii.findings(df, "k").sort("place").collect()]
     assert kinds == ["ip", "ssn", "ymd", "dmy", "dmy", "mdy"]
     # A find with odd surroundings is none.
     odd = spark.createDataFrame([(1, "x" * 50_000 + "1.2.3.4a 12345-45-67890")], "doc_id long, text string")
-    assert pii.pseudonymise(odd).first().text == odd.first().text
+    assert pii.pseudonymise(odd, "k").first().text == odd.first().text
 
 
 def test_numbers_among_other_digits_and_capitals(spark):
@@ -121,10 +122,51 @@ def test_numbers_among_other_digits_and_capitals(spark):
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     found = [{} for _ in cases]
-    for r in pii.findings(df).collect():
+    for r in pii.findings(df, "k").collect():
         found[r.doc_id][r.value] = r.kind
     assert found == [kinds for _, kinds in cases]
-    for (text, kinds), r in zip(cases, pii.pseudonymise(df).sort("doc_id").collect()):
+    for (text, kinds), r in zip(cases, pii.pseudonymise(df, "k").sort("doc_id").collect()):
         # An ip's image has octets of other lengths.
         assert "ip" in kinds.values() or shape(r.text) == shape(text)
         assert not any(value in r.text for value in kinds)
+
+
+def test_one_image_however_a_value_is_written(spark):
+    groups = [
+        ["+1 212-555-0147", "+12125550147", "212-555-0147", "(212) 555-0147", "+1.212.555.0147"],
+        ["+49 30 1234567", "+49301234567", "+49-30-123-4567"],
+        ["2020-03-04", "04/03/2020", "4.3.2020"],
+        ["2020-03-25", "25/03/2020", "03/25/2020"],
+        ["A.B@x.com", "a.b@X.com", "a.B@x.com"],
+    ]
+    texts = [(g, i, v) for g, group in enumerate(groups) for i, v in enumerate(group)]
+    df = spark.createDataFrame(texts, "g int, i int, text string")
+    images = [[] for _ in groups]
+    for r in pii.pseudonymise(df, "k").sort("g", "i").collect():
+        images[r.g].append(r.text)
+    for old, new in zip(groups[:2], images[:2]):
+        assert len({re.sub(r"\D", "", x)[-9:] for x in new}) == 1
+        assert [shape(x) for x in new] == [shape(x) for x in old] and not set(new) & set(old)
+    assert all(x.startswith("+49") for x in images[1]) and images[0][1].startswith("+1")
+    (iso, day_first, short), (late, dmy, mdy) = images[2], images[3]
+    y, m, d = iso.split("-")
+    assert int(d) <= 12 and day_first == f"{d}/{m}/{y}" and [int(x) for x in short.split(".")] == [int(d), int(m), int(y)]
+    y, m, d = late.split("-")
+    assert int(d) > 12 and dmy == f"{d}/{m}/{y}" and mdy == f"{m}/{d}/{y}"
+    assert len({x.lower() for x in images[4]}) == 1 and images[4][0].split("@")[0].isupper()
+    kinds = {r.kind for r in spark.createDataFrame([(x,) for x in images[0]], "v string").select(pii.kind(F.col("v")).alias("kind")).collect()}
+    assert kinds == {"nanp"}
+
+
+def test_long_runs_take_linear_time(spark):
+    cards = "4111 1111 1111 1111 5500 0000 0000 0004 "
+    seconds = []
+    for times in (250, 1000, 4000):
+        df = spark.createDataFrame([(1, cards * times)], "doc_id long, text string")
+        start = time.time()
+        text = pii.pseudonymise(df, "k").first().text
+        seconds.append(time.time() - start)
+        assert len(text) == len(cards) * times and "4111 1111" not in text
+        assert text == text[: len(cards)] * times
+    # Sixteen times the text; the fixed part of a run is the same.
+    assert seconds[2] < 40
