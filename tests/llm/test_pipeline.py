@@ -41,7 +41,7 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in out["decontamination"]} == left
     # Personal data: what was found is gone, the rest is as it was.
     before = spark.createDataFrame(out["decontamination"])
-    finds = pii.findings(before).groupBy("doc_id").agg(F.collect_list("value").alias("v")).collect()
+    finds = pii.findings(before, pii.TEST_KEY).groupBy("doc_id").agg(F.collect_list("value").alias("v")).collect()
     after = {r.doc_id: r for r in out["pii"]}
     assert set(after) == left and len(finds) > 0
     for r in finds:
@@ -57,3 +57,34 @@ def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert {"doc_id", "sequence_id", "offset", "ids_crc32"} <= set(rows.columns)
     assert rows.count() > 0
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, ties, repeated rows and clashing columns."""
+    folder = str(tmp_path / "t")
+    long = " ".join(f"word{i}" for i in range(40))
+    data = [
+        (1, None), (2, ""), (2, ""), (3, long), (3, long), (4, long), (None, "alone here"), (5, "a"), (5, "b"),
+        (6, "the test has these ten words in a row you see"), (7, "mail ann.lee@x.org " + long[:150]),
+    ]
+    docs = spark.createDataFrame([(*d, "x", 1.5, 7) for d in data], "doc_id long, text string, Score string, class double, times int")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    items = [("i", "the test has these ten words in a row you see")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(3, 0), (5, None)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = save(stage(spark, kept, folder), name)
+        assert kept.columns == docs.columns
+    rows = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    mail = [t for i, t in rows if i == 7]
+    assert len(mail) == 1 and "ann.lee" not in mail[0] and mail[0].startswith("mail ")
+    rest = [(1, None), (2, ""), (3, long), (5, "a"), (5, "b"), (None, "alone here")]
+    assert [r for r in rows if r[0] != 7] == sorted(rest, key=repr)
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, folder)
+    assert packed.select("doc_id", "piece").count() == 7
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, folder)
+        assert empty.count() == 0
+        empty = docs.limit(0)
