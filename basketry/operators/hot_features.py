@@ -13,10 +13,19 @@ candidates are enough:
 Copies are scored once. Ids whose hot parts are equal form a group; the group's smallest ids stand
 for it on the base side, and all its members receive the result on the query side.
 
-Base groups are cut into shards of bounded size, by falling |b_hot|. Every query meets one shard
-first; after that it visits only shards whose best case can still beat its k-th best distance.
+Base groups are put to the nearest of a few pivots, chosen farthest-first from a bounded sample, and cut into
+shards of bounded size by their distance to it. With D the distance of two hot parts,
+
+    gap = (|a|^2 - |a_hot|^2) / 2 + (|b|^2 - |b_hot|^2) / 2 + D^2 / 2
+
+and the triangle inequality bounds D from below by how far the query's distance to a pivot lies outside the range
+of a shard's. Every query meets the likeliest shard of its pivot first; after that it visits only shards whose
+best case can still beat its k-th best distance. Those are found by a join of queries and shards on the pivot, after
+the pivots as a whole have been ruled out that can be; a list of all shards is nowhere in one row.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,7 +39,9 @@ from basketry.storage import save
 _SHARD_ROWS = 4096
 _SHARD_ENTRIES = 2_000_000
 _CELLS = 2_000_000
-_CLASS_SHIFT = 40
+#: Pivots, and ids and entries of the sample from which they are chosen, at most.
+_PIVOTS, _SAMPLE_ROWS, _SAMPLE_ENTRIES = 256, 1024, 500_000
+_CLUSTER_SHIFT, _CLASS_SHIFT = 46, 40
 _DENSE_FEATURES = 256
 # A cell of a matrix product costs about this much less than one met through an index.
 _DENSE_GAIN = 30
@@ -111,54 +122,158 @@ def _groups(entries: DataFrame) -> DataFrame:
     return save(prints.join(reps, same).select("idx", "rep", "sq", "n_entries", "hot_norm"), "groups")
 
 
-def _placed(groups: DataFrame) -> tuple[DataFrame, tuple[int, int] | None, int]:
-    """Representatives with their block, the blocks to visit first (least, most), and how many there are.
+@dataclass(frozen=True)
+class Pivots:
+    """Hot parts of some base ids: entries (row, fid, w), sorted fids, and squared lengths."""
+
+    row: np.ndarray
+    fid: np.ndarray
+    w: np.ndarray
+    fids: np.ndarray
+    square: np.ndarray
+
+    def distances(self, entries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted ids, distance of each to every pivot) of hot parts in long form."""
+        ids, row = np.unique(entries["idx"].to_numpy(), return_inverse=True)
+        w = entries["w"].to_numpy()
+        square = np.bincount(row, w * w, minlength=len(ids))
+        known = np.isin(entries["fid"].to_numpy(), self.fids)
+        place = np.searchsorted(self.fids, entries["fid"].to_numpy()[known])
+        order = np.argsort(self.fid, kind="stable")
+        out = np.empty((len(ids), len(self.square)))
+        step = max(1, _CELLS // len(self.square))
+        mine, w = row[known], w[known]
+        by_row = np.argsort(mine, kind="stable")
+        mine, place, w = mine[by_row], place[by_row], w[by_row]
+        for low in range(0, len(ids), step):
+            high = min(low + step, len(ids))
+            here = slice(*np.searchsorted(mine, (low, high)))
+            dots = _dots(
+                (mine[here] - low, place[here], w[here], high - low),
+                (
+                    self.row[order],
+                    np.searchsorted(self.fids, self.fid[order]),
+                    self.w[order],
+                    len(self.square),
+                ),
+                len(self.fids),
+            )
+            out[low:high] = square[low:high, None] + self.square - 2 * dots
+        return ids, np.sqrt(np.maximum(out, 0.0))
+
+
+def _pivots(entries: DataFrame, reps: DataFrame) -> Pivots | None:
+    """Farthest-first: each pivot is the sampled id farthest from those before it."""
+    facts = reps.agg(F.count("*").alias("n"), F.max("n_entries").alias("widest")).first()
+    if not facts.n:
+        return None
+    most = max(1, min(_SAMPLE_ROWS, _SAMPLE_ENTRIES // facts.widest))
+    sample = reps.select(F.col("rep").alias("idx")).orderBy(F.xxhash64("idx"), "idx").limit(most)
+    # At most _SAMPLE_ENTRIES rows, whatever the data.
+    table = entries.join(sample, "idx").select("idx", "fid", "w").toPandas()
+    ids, row = np.unique(table["idx"].to_numpy(), return_inverse=True)
+    fids, column = np.unique(table["fid"].to_numpy(), return_inverse=True)
+    w = table["w"].to_numpy()
+    square = np.bincount(row, w * w, minlength=len(ids))
+    wanted = min(_PIVOTS, len(ids), max(1, 2 * -(-facts.n // _SHARD_ROWS)))
+    chosen, nearest = [int(np.argmin(square))], np.full(len(ids), np.inf)
+    while True:
+        last = row == chosen[-1]
+        own = np.zeros(len(fids))
+        own[column[last]] = w[last]
+        away = square + square[chosen[-1]] - 2 * np.bincount(row, w * own[column], minlength=len(ids))
+        nearest = np.minimum(nearest, away)
+        if len(chosen) == wanted or nearest.max() <= 1e-12:
+            break
+        chosen.append(int(np.argmax(nearest)))
+    kept = np.isin(row, chosen)
+    # Entries by the number of their pivot in order of choice.
+    order = np.argsort(chosen)
+    rows = order[np.searchsorted(np.sort(chosen), row[kept])]
+    used = np.unique(table["fid"].to_numpy()[kept])
+    return Pivots(rows, table["fid"].to_numpy()[kept], w[kept], used, square[chosen])
+
+
+def _nearest_pivots(entries: DataFrame, reps: DataFrame, pivots: Pivots, sizes, keep: int) -> DataFrame:
+    """(rep, cluster, away): the nearest pivots of each id that together have ``keep`` ids; one without ``sizes``."""
+    part = F.pmod(F.xxhash64("idx"), F.lit(_parts_of(reps))).cast("int")
+
+    def nearest(table: pd.DataFrame) -> pd.DataFrame:
+        ids, away = pivots.distances(table)
+        order = np.argsort(away, axis=1, kind="stable")[:, : 1 if sizes is None else keep]
+        before = np.zeros(order.shape)
+        if sizes is not None:
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        r, c = np.nonzero(before < keep)
+        best = order[r, c]
+        return pd.DataFrame({"rep": ids[r], "cluster": best, "away": away[r, best]})
+
+    return (
+        entries.join(reps.select(F.col("rep").alias("idx")), "idx")
+        .groupBy(part.alias("part"))
+        .applyInPandas(nearest, "rep long, cluster long, away double")
+    )
+
+
+def _parts_of(reps: DataFrame) -> int:
+    """Parts of bounded rows and entries."""
+    facts = reps.agg(F.count("*").alias("n"), F.sum("n_entries").alias("entries")).first()
+    return max(1, -(-facts.n // _SHARD_ROWS), -(-(facts.entries or 0) // _SHARD_ENTRIES))
+
+
+def _placed(entries: DataFrame, groups: DataFrame, pivots: Pivots) -> DataFrame:
+    """Representatives with their block: a range of distances to one pivot.
 
     Blocks are cut inside classes of similar vector length, so that a block is bounded both in rows
     and in entries, however uneven the lengths are.
     """
     reps = groups.filter(F.col("idx") == F.col("rep")).drop("idx")
-    sized = reps.withColumn("size_class", F.floor(F.log2("n_entries")).cast("long"))
-    placed = with_group_position(sized, ["size_class"], [F.desc("hot_norm"), "rep"])
+    sized = reps.join(_nearest_pivots(entries, reps, pivots, None, 1), "rep").withColumn(
+        "size_class", F.floor(F.log2("n_entries")).cast("long")
+    )
+    placed = with_group_position(sized, ["cluster", "size_class"], ["away", "rep"])
     fitting = F.floor(_SHARD_ENTRIES / F.pow(F.lit(2.0), F.col("size_class") + 1))
     rows = F.greatest(F.lit(1), F.least(F.lit(_SHARD_ROWS), fitting))
     number = F.floor((F.col("position") - 1) / rows)
-    placed = save(
-        placed.withColumn("block", F.shiftleft("size_class", _CLASS_SHIFT) + number), "placed"
-    )
-    # One row per size class, at most 64.
-    classes = placed.groupBy("size_class").agg(
-        F.count("*").alias("n"), F.min("block").alias("first"), F.max("block").alias("last")
-    ).collect()
-    if not classes:
-        return placed, None, 0
-    largest = max(classes, key=lambda c: (c.n, c.first))
-    return placed, (largest.first, largest.last), sum(c.last - c.first + 1 for c in classes)
+    block = F.shiftleft("cluster", _CLUSTER_SHIFT) + F.shiftleft("size_class", _CLASS_SHIFT) + number
+    rare = F.greatest((F.col("sq") - F.col("hot_norm") * F.col("hot_norm")) / 2, F.lit(0.0))
+    return save(placed.withColumns({"block": block, "rare": rare}), "placed")
 
 
 def _hot_only(problem: Problem, base_hot: DataFrame, query_hot: DataFrame) -> DataFrame:
     base_groups = _groups(base_hot)
     query_groups = base_groups if problem.symmetric else _groups(query_hot)
-    shards, first, n_shards = _placed(base_groups)
-    asked = shards if problem.symmetric else _placed(query_groups)[0]
+    pivots = _pivots(base_hot, base_groups.filter(F.col("idx") == F.col("rep")))
+    if pivots is None:
+        return problem.base.select(
+            F.col("idx").alias("q"), F.col("idx").alias("n"), F.col("sq").alias("gap")
+        ).limit(0)
+    base_placed = _placed(base_hot, base_groups, pivots)
+    asked = base_placed if problem.symmetric else _placed(query_hot, query_groups, pivots)
+    shards = save(
+        base_placed.groupBy("cluster", F.col("block").alias("shard")).agg(
+            F.min("away").alias("least"), F.max("away").alias("most"), F.min("rare").alias("rare")
+        ),
+        "shards",
+    )
 
     def cells(entries, placed):
         own = placed.select(F.col("rep").alias("idx"), "block")
         return save(entries.join(own, "idx").select("idx", "fid", "w", "sq", "block"), "cells")
 
-    base_cells = cells(base_hot, shards)
+    base_cells = cells(base_hot, base_placed)
     query_cells = base_cells if problem.symmetric else cells(query_hot, asked)
 
-    # Query blocks begin at different shards of the largest class, so that none has to serve them all.
-    asked = asked.withColumn("begin", _begin(F.col("block"), first))
-    first_visit = asked.select(
-        "rep", F.col("block").alias("q_block"), F.col("begin").alias("shard")
-    )
-    best = _score(problem, query_cells, base_cells, first_visit)
-    if n_shards > 1:
-        best = save(best, "first_shard")
-        visits = _further_visits(problem, asked, shards, best)
-        best = best.unionByName(_score(problem, query_cells, base_cells, visits))
+    # One row per pivot, _PIVOTS at most.
+    counted = base_placed.groupBy("cluster").agg(F.count("*").alias("n")).collect()
+    sizes = np.zeros(len(pivots.square), dtype=np.int64)
+    for row in counted:
+        sizes[row.cluster] = row.n
+    near = _nearest_pivots(query_hot, asked, pivots, sizes, problem.keep)
+    first_visit = save(_first_visits(asked, near, shards), "first_visits")
+    best = save(_score(problem, query_cells, base_cells, first_visit), "first_shard")
+    visits = _further_visits(problem, query_cells, asked, shards, first_visit, best, pivots)
+    best = best.unionByName(_score(problem, query_cells, base_cells, visits))
     best = top_candidates(best, problem.metric, problem.keep).select("q", "n", "gap")
 
     members = _smallest_members(base_groups, problem.keep).withColumnRenamed("rep", "n")
@@ -169,12 +284,23 @@ def _hot_only(problem: Problem, base_hot: DataFrame, query_hot: DataFrame) -> Da
     return found.join(receivers, "rep").select("q", "n", "gap")
 
 
-def _begin(block, first):
-    """A shard of the largest class, chosen by the query's block."""
-    if first is None:
-        return F.lit(None).cast("long")
-    least, most = first
-    return F.lit(least) + F.pmod(F.xxhash64(block), F.lit(most - least + 1))
+def _outside(away):
+    """How far a distance to a pivot lies outside a shard's range of distances, rounding allowed for."""
+    gap = F.greatest(away - F.col("most"), F.col("least") - away)
+    return F.greatest(gap - 1e-7 * (1 + away + F.col("most")), F.lit(0.0))
+
+
+def _first_visits(asked: DataFrame, near: DataFrame, shards: DataFrame) -> DataFrame:
+    """Of the shards of the nearest pivots, those whose range a query is nearest to: rep, q_block, shard."""
+    own = asked.select("rep", F.col("block").alias("q_block"))
+    return (
+        near.withColumnRenamed("away", "mine")
+        .join(own, "rep")
+        .join(shards, "cluster")
+        .groupBy("rep", "q_block", "cluster")
+        .agg(F.min_by("shard", F.struct(_outside(F.col("mine")), "shard")).alias("shard"))
+        .select("rep", "q_block", "shard")
+    )
 
 
 def _smallest_members(groups, keep):
@@ -183,38 +309,63 @@ def _smallest_members(groups, keep):
     return numbered.filter(F.col("_n") <= keep).drop("_n")
 
 
-def _further_visits(problem, asked, shards, best):
-    """The other shards whose best case can still beat what the query has."""
-    reached = best.withColumn("dist", distance(F.col("gap"), problem.metric)).groupBy("q").agg(
+def _further_visits(problem, query_cells, asked, shards, first_visit, best, pivots):
+    """The other shards whose best case can still beat what the query has: rep, q_block, shard."""
+    metric, keep = problem.metric, problem.keep
+    reached = top_candidates(best, metric, keep).groupBy("q").agg(
         F.count("*").alias("have"), F.max("dist").alias("reached")
     )
-    # One row per shard: the array grows with the number of shards only.
-    bounds = (
-        shards.groupBy("block")
-        .agg(F.max("hot_norm").alias("top_norm"), F.min("sq").alias("least_sq"))
-        .agg(F.array_sort(F.collect_list(F.struct("block", "top_norm", "least_sq"))))
-        .scalar()
+    facts = (
+        asked.select(F.col("rep").alias("idx"), F.col("rare").alias("own_rare"))
+        .join(reached.withColumnRenamed("q", "idx"), "idx", "left")
+        .select(
+            "idx",
+            "own_rare",
+            # Without k neighbours yet, every shard is worth a visit.
+            F.when(F.col("have") >= keep, F.col("reached")).otherwise(float("inf")).alias("reached"),
+        )
     )
-
-    def worth(bound):
-        gap = (F.col("sq") + bound["least_sq"]) / 2 - F.col("hot_norm") * bound["top_norm"]
-        nearest = distance(gap, problem.metric)
-        open_ = (
-            F.col("have").isNull()
-            | (F.col("have") < problem.keep)
-            | (nearest <= F.col("reached") + _SLACK)
+    whole = shards.groupBy("cluster").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.min("rare").alias("rare")
+    ).toPandas()
+
+    def near(table: pd.DataFrame) -> pd.DataFrame:
+        ids, away = pivots.distances(table)
+        first = table.drop_duplicates("idx").set_index("idx").loc[ids]
+        away = away[:, whole["cluster"].to_numpy()]
+        beyond = np.maximum(away - whole["most"].to_numpy(), whole["least"].to_numpy() - away)
+        beyond = np.maximum(beyond - 1e-7 * (1 + away + whole["most"].to_numpy()), 0.0)
+        gap = first["own_rare"].to_numpy()[:, None] + whole["rare"].to_numpy() + beyond**2 / 2
+        least = gap if metric == "cosine" else np.sqrt(2 * gap)
+        r, c = np.nonzero(least <= first["reached"].to_numpy()[:, None] + 2 * _SLACK)
+        return pd.DataFrame(
+            {
+                "rep": ids[r],
+                "q_block": first["block"].to_numpy()[r],
+                "cluster": whole["cluster"].to_numpy()[c],
+                "mine": away[r, c],
+                "own_rare": first["own_rare"].to_numpy()[r],
+                "reached": first["reached"].to_numpy()[r],
+            }
         )
-        return (bound["block"] != F.col("begin")) & open_
 
-    return (
-        asked.join(reached, F.col("rep") == F.col("q"), "left")
-        .withColumn("bounds", bounds)
-        .select(
-            "rep",
-            F.col("block").alias("q_block"),
-            F.explode(F.transform(F.filter("bounds", worth), lambda b: b["block"])).alias("shard"),
+    open_pivots = (
+        query_cells.join(facts, "idx")
+        .groupBy("block")
+        .applyInPandas(
+            near,
+            "rep long, q_block long, cluster long, mine double, own_rare double, reached double",
         )
     )
+    outside = _outside(F.col("mine"))
+    nearest = distance(F.col("own_rare") + F.col("rare") + outside * outside / 2, metric)
+    seen = first_visit.select("rep", "q_block", "shard")
+    return (
+        open_pivots.join(shards, "cluster")
+        .filter(nearest <= F.col("reached") + _SLACK)
+        .select("rep", "q_block", "shard")
+        .join(seen, ["rep", "q_block", "shard"], "left_anti")
+    )
 
 
 def _score(problem, query_cells, base_cells, visits):

@@ -7,7 +7,10 @@ Both distances come from one quantity, ``gap = (|a|^2 + |b|^2) / 2 - a.b``:
 
 so a larger dot product is always nearer, and everything below only deals with dot products.
 
-Features are taken apart by how many ids have them:
+Where many ids share the features, blocks of ids are scored against blocks of ids, and only the k best of each
+leave a task (``blocked``). That is done if the entries it copies are fewer than the pairs that joins make.
+
+Otherwise features are taken apart by how many ids have them:
 
 * **rare** (at most ``hot_degree`` ids): a join on the feature. Each row meets at most
   ``hot_degree`` partners, so the join grows linearly with the data, and no key is skewed.
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.functions import grid
+from basketry.operators import blocked
 from basketry.storage import save
 
 HOT_DEGREE = 512
@@ -53,22 +57,25 @@ def distance(gap: Column, metric: str) -> Column:
 
 
 def cosine_neighbors(base, k=10, queries=None, include_self=True, hot_degree=HOT_DEGREE,
-                     id_col="cont_id", feature_col="prod_name") -> DataFrame:
-    """The k nearest by cosine among those sharing a feature: id, neighbor_id, dist, neighbor_rank."""
+                     id_col="cont_id", feature_col="prod_name", by=None) -> DataFrame:
+    """The k nearest by cosine among those sharing a feature: id, neighbor_id, dist, neighbor_rank.
+
+    ``by``: ``"blocks"`` or ``"features"`` instead of whichever moves less.
+    """
     return _neighbors(
-        "cosine", base, k, queries, include_self, hot_degree, id_col, feature_col
+        "cosine", base, k, queries, include_self, hot_degree, id_col, feature_col, by
     )
 
 
 def euclidean_neighbors(base, k=10, queries=None, include_self=True, hot_degree=HOT_DEGREE,
-                        id_col="cont_id", feature_col="prod_name") -> DataFrame:
+                        id_col="cont_id", feature_col="prod_name", by=None) -> DataFrame:
     """The k nearest by Euclidean distance among all ids, with or without a shared feature."""
     return _neighbors(
-        "euclidean", base, k, queries, include_self, hot_degree, id_col, feature_col
+        "euclidean", base, k, queries, include_self, hot_degree, id_col, feature_col, by
     )
 
 
-def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, feature_col):
+def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, feature_col, by):
     from basketry.operators.hot_features import hot_candidates
 
     problem = _prepare(
@@ -78,10 +85,14 @@ def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, featu
     facts = degrees.agg(
         F.max("degree").alias("top"),
         F.sum(F.when(F.col("degree") <= hot_degree, F.col("work"))).alias("work"),
+        F.sum(F.col("work").cast("double")).alias("pairs"),
     ).first()
     tasks = 1 + int(facts.work or 0) // _PAIRS_PER_TASK
+    grid_ = blocked.grid_of(problem) if by != "features" else None
 
-    if (facts.top or 0) <= hot_degree:
+    if by == "blocks" or (grid_ and blocked.worth_it(grid_, facts.pairs or 0)):
+        candidates = blocked.block_candidates(problem, grid_)
+    elif (facts.top or 0) <= hot_degree:
         dots = rare_dots(problem, problem.queries, problem.base, tasks)
         if metric == "euclidean":
             dots = dots.filter(_near_enough(problem))

@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from basketry.operators import hot_features, neighbors
+from basketry.operators import blocked, hot_features, neighbors
 
 SCHEMA = "cont_id string, prod_name string, weight double"
 
@@ -77,7 +78,7 @@ def test_matches_brute_force(rows, monkeypatch, metric, hot_degree, shard_rows):
     monkeypatch.setattr(hot_features, "_SHARD_ROWS", shard_rows)
     data = skewed(7)
     find = getattr(neighbors, f"{metric}_neighbors")
-    got = find(rows(data, SCHEMA), k=6, hot_degree=hot_degree)
+    got = find(rows(data, SCHEMA), k=6, hot_degree=hot_degree, by="features")
     assert result(got) == brute(data, data, metric, 6, True)
 
 
@@ -89,11 +90,33 @@ def test_other_queries_without_self(rows, monkeypatch, metric, hot_degree):
     find = getattr(neighbors, f"{metric}_neighbors")
     got = find(
         rows(base, SCHEMA), k=4, queries=rows(asked, SCHEMA), include_self=False,
-        hot_degree=hot_degree,
+        hot_degree=hot_degree, by="features",
     )
     assert result(got) == brute(base, asked, metric, 4, False)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("block_rows", [4096, 11])
+def test_blocks_match_brute_force(rows, monkeypatch, metric, block_rows):
+    monkeypatch.setattr(blocked, "BLOCK_ROWS", block_rows)
+    find = getattr(neighbors, f"{metric}_neighbors")
+    data = skewed(8)
+    got = find(rows(data, SCHEMA), k=6, by="blocks")
+    assert result(got) == brute(data, data, metric, 6, True)
+    base, asked = skewed(9, 70), skewed(2, 40)
+    got = find(rows(base, SCHEMA), k=4, queries=rows(asked, SCHEMA), include_self=False, by="blocks")
+    assert result(got) == brute(base, asked, metric, 4, False)
+
+
+def test_what_moves_decides():
+    # 15,000 ids of 40 features: a join on features that 30 ids share, or 25 features that all have.
+    entries = 600_000
+    small = blocked.Grid(4, 4, 2 * 4 * entries)
+    assert blocked.worth_it(small, 15_000**2 * 25) and blocked.worth_it(small, entries * 30)
+    large = blocked.Grid(4000, 4000, 2 * 4000 * 1000 * entries)
+    assert not blocked.worth_it(large, 1000 * entries * 30)
+
+
 @pytest.mark.parametrize("gain", [0, 10**9])
 def test_block_scores_either_way(monkeypatch, gain):
     monkeypatch.setattr(hot_features, "_DENSE_GAIN", gain)
@@ -130,7 +153,7 @@ def test_block_scores_either_way(monkeypatch, gain):
 def test_small_slices_of_a_block(rows, monkeypatch):
     monkeypatch.setattr(hot_features, "_CELLS", 50)
     data = skewed(5, 60)
-    got = neighbors.cosine_neighbors(rows(data, SCHEMA), k=5, hot_degree=2)
+    got = neighbors.cosine_neighbors(rows(data, SCHEMA), k=5, hot_degree=2, by="features")
     assert result(got) == brute(data, data, "cosine", 5, True)
 
 
@@ -181,3 +204,47 @@ def test_worked_item_example(rows):
         "BD": 0.29985996, "CD": 0.9428338, "CE": 0.05719096,
     }
     assert {k: v for k, v in dist.items() if k[0] < k[1]} == {tuple(k): v for k, v in expected.items()}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_pivots_rule_out_most_shards(rows, monkeypatch, metric):
+    """Twenty clusters that all share one feature: a query visits few shards, and the result is exact."""
+    monkeypatch.setattr(hot_features, "_SHARD_ROWS", 10)
+    rng, data = random.Random(3), []
+    for i in range(400):
+        vector = {"all": 0.5}
+        for f in range(3):
+            vector[f"c{i % 20}f{f}"] = 1 + rng.random() / 4
+        data += [(f"c{i:03}", f, w) for f, w in vector.items()]
+    visits, score = [], hot_features._score
+
+    def counted(problem, query_cells, base_cells, wanted):
+        visits.append((wanted.count(), base_cells.select("block").distinct().count()))
+        return score(problem, query_cells, base_cells, wanted)
+
+    monkeypatch.setattr(hot_features, "_score", counted)
+    got = getattr(neighbors, f"{metric}_neighbors")(rows(data, SCHEMA), k=5, hot_degree=3, by="features")
+    assert result(got) == brute(data, data, metric, 5, True)
+    made, shards = sum(v for v, _ in visits), visits[0][1]
+    assert shards >= 40 and made < 400 * shards / 4
+
+
+def test_pivots_are_far_apart(spark, rows):
+    cells = [(i, f, float(w)) for i in range(60) for f, w in ((i % 6, 5), (9, 1 + i / 100))]
+    entries = rows(cells, "idx long, fid long, w double")
+    reps = entries.groupBy("idx").count().selectExpr("idx as rep", "count as n_entries")
+    old, hot_features._SHARD_ROWS = hot_features._SHARD_ROWS, 20
+    try:
+        pivots = hot_features._pivots(entries, reps)
+    finally:
+        hot_features._SHARD_ROWS = old
+    table = entries.toPandas()
+    ids, away = pivots.distances(table)
+    assert len(pivots.square) == 6 and list(ids) == list(range(60))
+    # Every id is near one pivot, which stands for its feature, and far from the others.
+    assert (away.min(axis=1) < 1).all() and ((away < 3).sum(axis=1) == 1).all()
+    dense = np.zeros((60, 10))
+    for i, f, w in cells:
+        dense[i, f] = w
+    where = away.argmin(axis=0)
+    assert np.allclose(away, np.linalg.norm(dense[:, None] - dense[where][None], axis=2), atol=1e-6)
