@@ -317,12 +317,21 @@ def learn(texts, toxic) -> Chain | None:
     low = np.maximum(first, np.minimum(centre - rng.integers(0, _WINDOW, len(centre)), beyond - _WINDOW))
     length = np.minimum(_WINDOW, beyond - first)
     places = [low[length == n][:, None] + np.arange(n) for n in np.unique(length)]
-    kinds = [feature(kind) for kind in range(_KINDS)]
-    inside = np.concatenate([f[at].ravel() for f in kinds for at in places] or [kinds[0][:0]])
-    keys, times = np.unique(inside, return_counts=True)
+    inside = [[] for _ in places]
+    for kind in range(_KINDS):
+        # One kind at a time over the whole sample; what is kept is that of the windows.
+        hashes = feature(kind)
+        for cells, at in zip(inside, places):
+            cells.append(hashes[at])
+        del hashes
+    joined = [f.ravel() for cells in inside for f in cells]
+    keys, times = np.unique(np.concatenate(joined or [rows[:0]]), return_counts=True)
     model = Chain(keys[(times > 2) & (keys > 0)])
     if len(bad) and len(model.keys):
-        windows = [(np.stack([model.places(f[at]) for f in kinds], axis=2), gold[at]) for at in places]
+        windows = [
+            (np.stack([model.places(f) for f in cells], axis=2), gold[at])
+            for cells, at in zip(inside, places)
+        ]
         model.fit(windows, rng)
     model.prune()
     inputs = np.concatenate(
