@@ -21,13 +21,13 @@ def hit_counts(
     one = F.lit(1).cast("long")
     hit = F.col("places") if hits == "rows" else one
     needed = F.col("n") if relevant_unit == "rows" else one
-    # One row per (customer, product) on either side; the join keys are unique on both.
-    both = offered.join(wanted, ["cont_id", "prod_name"], "full")
-    is_hit = F.col("places").isNotNull() & F.col("n").isNotNull()
-    totals = both.agg(
-        F.coalesce(F.sum(F.when(is_hit, hit)), F.lit(0)).alias("hits"),
-        F.coalesce(F.sum("places"), F.lit(0)).alias("n_recommended"),
-        F.coalesce(F.sum(F.when(F.col("n").isNotNull(), needed)), F.lit(0)).alias("n_relevant"),
+    # Each side is counted on its own; only hits are joined, on keys that are unique on both sides.
+    n_recommended = offered.agg(F.coalesce(F.sum("places"), F.lit(0))).scalar()
+    n_relevant = wanted.agg(F.coalesce(F.sum(needed), F.lit(0))).scalar()
+    totals = (
+        offered.join(wanted, ["cont_id", "prod_name"])
+        .agg(F.coalesce(F.sum(hit), F.lit(0)).alias("hits"))
+        .select("hits", n_recommended.alias("n_recommended"), n_relevant.alias("n_relevant"))
     )
     return totals.withColumns(
         {

@@ -5,19 +5,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.schemas import CORE_CATEGORIES, EMPTY_SLOT, WIDER_CATEGORIES
+from basketry.storage import save
 
 
 def category_gate(recommended: DataFrame) -> DataFrame:
-    """Keep the core categories where a customer has all three, otherwise accessories as well."""
-    customer = Window.partitionBy("cont_id")
-    present = [
-        F.max((F.col("category1") == code).cast("int")).over(customer) for code in CORE_CATEGORIES
-    ]
-    complete = sum(present[1:], present[0]) == len(CORE_CATEGORIES)
-    allowed = F.when(F.col("_complete"), F.col("category1").isin(*CORE_CATEGORIES)).otherwise(
-        F.col("category1").isin(*WIDER_CATEGORIES)
+    """Keep the core categories where a customer has all three, otherwise accessories as well.
+
+    The customers that have all three are counted on distinct pairs, which Spark combines before the shuffle, so a
+    list of any length is never in one task.
+    """
+    rows = save(recommended, "recommended")
+    core = F.col("category1").isin(*CORE_CATEGORIES)
+    complete = (
+        rows.filter(core)
+        .groupBy(F.col("cont_id").alias("_customer"))
+        .agg(F.count_distinct("category1").alias("_n"))
+        .filter(F.col("_n") == len(CORE_CATEGORIES))
+        .select("_customer")
+    )
+    joined = rows.filter(F.col("category1").isin(*WIDER_CATEGORIES)).join(
+        complete, F.col("cont_id").eqNullSafe(F.col("_customer")), "left"
     )
-    return recommended.withColumn("_complete", complete).filter(allowed).drop("_complete")
+    return joined.filter(core | F.col("_customer").isNull()).drop("_customer")
 
 
 def _order(sort_by_category: bool):

@@ -5,14 +5,23 @@ lineage, survives the loss of any executor, and gives the planner real sizes to
 """
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-#: Tables written so far, by scope; the first scope is the process.
-_scopes: list[list[str]] = [[]]
+
+
+class _Scopes(threading.local):
+    """Tables written so far, by scope; the first scope is the thread, of which streams have their own."""
+
+    def __init__(self):
+        self.stack: list[list[str]] = [[]]
+
+
+_scopes = _Scopes()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _scopes[-1].append(path)
+    _scopes.stack[-1].append(path)
     return path
 
 
@@ -45,8 +54,8 @@ def save(df: DataFrame, label: str = "step") -> DataFrame:
 def hand_over(df: DataFrame, label: str = "step") -> DataFrame:
     """Like ``save``, but the table belongs to the scope around the present one, which may then end."""
     path = new_path(df.sparkSession, label)
-    _scopes[-1].remove(path)
-    _scopes[max(len(_scopes) - 2, 0)].append(path)
+    _scopes.stack[-1].remove(path)
+    _scopes.stack[max(len(_scopes.stack) - 2, 0)].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -54,7 +63,7 @@ def hand_over(df: DataFrame, label: str = "step") -> DataFrame:
 def clear(spark: SparkSession) -> int:
     """Delete what was written in the present scope, once no result needs it any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    written = _scopes[-1]
+    written = _scopes.stack[-1]
     count = len(written)
     while written:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.pop())
@@ -68,9 +77,9 @@ def scope(spark: SparkSession):
 
     Results that are still to be read must leave the scope by an action (a write, a collect).
     """
-    _scopes.append([])
+    _scopes.stack.append([])
     try:
         yield
     finally:
         clear(spark)
-        _scopes.pop()
+        _scopes.stack.pop()

@@ -87,6 +87,25 @@ def test_stream_records_each_request_once(spark, purchases, tmp_path):
     assert sorted(tuple(r) for r in run()) == [("a", "bed"), ("b", "bed"), ("b", "sofa")]
 
 
+def test_two_queries_on_one_data_set_keep_all_rows(spark, purchases, tmp_path):
+    target = str(tmp_path / "out")
+    orders = ["client_id,suggestion1,suggestion2,suggestion3\na,bed,,\n", "suggestion2,client_id,suggestion1\nsofa,b,bed\n"]
+    for i, content in enumerate(orders):
+        (tmp_path / f"in{i}").mkdir()
+        (tmp_path / f"in{i}" / "1.csv").write_text(content)
+        # Each query has a checkpoint of its own, so both begin with batch 0.
+        requests = request_stream(spark, str(tmp_path / f"in{i}"))
+        at = lambda number: f"2024-01-0{number + 1} 10:00:00"
+        record_suggestions(requests, purchases, target, str(tmp_path / f"marks{i}"), at).awaitTermination(120)
+    rows = spark.read.option("recursiveFileLookup", True).schema(PURCHASES).parquet(target).collect()
+    assert sorted((r.cont_id, r.prod_name) for r in rows) == [("a", "bed"), ("b", "bed"), ("b", "sofa")]
+    assert {r.transaction_date for r in rows} == {datetime.datetime(2024, 1, 1, 10)}
+    (tmp_path / "in1" / "2.csv").write_text("client_id,other\nx,y\n")
+    with pytest.raises(Exception):
+        requests = request_stream(spark, str(tmp_path / "in1"))
+        record_suggestions(requests, purchases, target, str(tmp_path / "marks1"), NOW).awaitTermination(120)
+
+
 def test_csv_scan_reads_null_texts_and_quotes(spark, tmp_path):
     path = tmp_path / "client.csv"
     path.write_text(
