@@ -113,6 +113,41 @@ def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, featu
     return _with_text_ids(ranked, problem.ids, id_col)
 
 
+def refitted(lists: DataFrame, changed: DataFrame, base: DataFrame, k=10, id_col="cont_id",
+             feature_col="prod_name") -> DataFrame:
+    """``lists`` of the k nearest by cosine, brought up to date with ``base``, in which the ids ``changed`` differ.
+
+    ``changed`` holds every id whose vector is new, gone or another one than when the lists were made. A list
+    is worked out anew only if it is that of a changed id or has one in it. To all others a changed id can only
+    be added: the k nearest of the changed ids are merged with the list. The result is that of all lists anew.
+    """
+    changed = save(changed.select(id_col).distinct(), "changed")
+    stale = renewed(lists, changed, id_col)
+    fresh = cosine_neighbors(
+        base, k, base.join(stale, id_col, "left_semi"), id_col=id_col, feature_col=feature_col
+    )
+    others = base.join(stale, id_col, "left_anti")
+    added = cosine_neighbors(
+        base.join(changed, id_col, "left_semi"), k, others, id_col=id_col, feature_col=feature_col
+    )
+    nearest = Window.partitionBy(id_col).orderBy("dist", "neighbor_id")
+    columns = [id_col, "neighbor_id", "dist"]
+    merged = (
+        lists.join(stale, id_col, "left_anti")
+        .select(*columns)
+        .unionByName(added.select(*columns))
+        .withColumn("neighbor_rank", F.row_number().over(nearest))
+        .filter(F.col("neighbor_rank") <= k)
+    )
+    return merged.unionByName(fresh)
+
+
+def renewed(lists: DataFrame, changed: DataFrame, id_col="cont_id") -> DataFrame:
+    """The ids whose lists have to be worked out anew: those that changed or have one that did in their list."""
+    met = lists.join(changed.select(F.col(id_col).alias("neighbor_id")), "neighbor_id", "left_semi")
+    return save(met.select(id_col).union(changed.select(id_col)).distinct(), "renewed")
+
+
 def _prepare(metric, base, queries, keep, id_col, feature_col) -> Problem:
     def entries(df):
         return df.select(

@@ -35,6 +35,26 @@ def by_customers(
     describes them by their history alone, which keeps targets out of the features.
     """
     orders = split.split_orders(rows, split_by)
+    nearest = customer_neighbors(rows, orders, clients, k, min_orders, metric, features_from, include_self)
+    return from_neighbors(nearest, voting.target_counts(rows, orders), num_recs, vote)
+
+
+def from_neighbors(nearest: DataFrame, targets: DataFrame, num_recs: int = 5, vote: str = "last") -> DataFrame:
+    """Ranked products per customer, from neighbours that are known and what those bought later."""
+    return voting.best_products(voting.votes(nearest, targets, vote), num_recs)
+
+
+def customer_neighbors(
+    rows: DataFrame,
+    orders: DataFrame,
+    clients: DataFrame | None = None,
+    k: int = 10,
+    min_orders: int = 1,
+    metric: str = "cosine",
+    features_from: str = "all",
+    include_self: bool = True,
+) -> DataFrame:
+    """The k nearest customers: cont_id, neighbor_id, dist, neighbor_rank."""
     weights = features.min_max_weights(rows)
     base = weights
     train = split.train_customers(rows, min_orders) if min_orders > 1 else None
@@ -49,11 +69,9 @@ def by_customers(
     queries = None if base is weights else weights
     if clients is not None:
         queries = weights.join(clients, "cont_id", "left_semi")
-    nearest = getattr(neighbors, f"{metric}_neighbors")(
+    return getattr(neighbors, f"{metric}_neighbors")(
         base, k=k, queries=queries, include_self=include_self
     )
-    scored = voting.votes(nearest, voting.target_counts(rows, orders), vote)
-    return voting.best_products(scored, num_recs)
 
 
 def by_products(

@@ -332,6 +332,11 @@ ORDER BY md5('42:' || cont_id), cont_id LIMIT 1"""),
         [RAW, "fam AS (SELECT cont_id, prod_family AS prod_name FROM raw)"] + user_nn("fam"),
         "SELECT * FROM nn",
     ),
+    "user_knn_by_family_pivots": sql(
+        [RAW, "fam AS (SELECT cont_id, prod_family AS prod_name FROM raw)"] + user_nn("fam"),
+        "SELECT * FROM nn",
+    ),
+    "user_knn_joined": sql([RAW] + user_nn("raw"), "SELECT * FROM nn"),
     "euclid_knn_neighbors": sql(
         [RAW] + weights("raw") + [f"""norms AS (
   SELECT cont_id, {grid('sum(weight * weight)', 12)} AS sq FROM weights GROUP BY cont_id)""", """dots AS (
@@ -450,6 +455,17 @@ GROUP BY cont_id, "CAT1", prod_name, rank, model_id""",
             "SELECT count(*) FROM target_rows",
         ),
     ),
+    "recommend_user_stored": sql(ROWS + by_customers(), "SELECT * FROM picks"),
+    "refit_delta": sql(FEEDBACK + item_nn("fed"), "SELECT * FROM inn"),
+    "refit_affected": sql(
+        FEEDBACK + item_nn("rows") + [
+            """changed AS (SELECT DISTINCT prod_name FROM suggestions)""",
+            """renewed AS (SELECT prod_name FROM changed UNION
+  SELECT i.prod_name FROM inn i JOIN changed c ON i.neighbor_id = c.prod_name)""",
+        ],
+        "SELECT (SELECT count(*) FROM changed) AS n_changed, count(*) AS n_renewed FROM renewed",
+    ),
+    "recommend_item_refitted": sql(FEEDBACK + by_products("fed", past="rows"), "SELECT * FROM picks"),
     "feedback_rows": sql(FEEDBACK, "SELECT * FROM suggestions"),
     "feedback_rows_weighted": sql(FEEDBACK, "SELECT *, 1 AS qty FROM suggestions"),
     "feedback_unknown_names": sql(FEEDBACK, """SELECT client_id, form, pos, prod_name FROM requests

@@ -14,7 +14,7 @@ from basketry.operators import (
     split,
     voting,
 )
-from basketry.plans import batch, evaluate, ingest, recommend
+from basketry.plans import batch, evaluate, ingest, model_store, recommend
 from basketry.sources import files, star_schema, tables
 from basketry.storage import new_path, save
 
@@ -387,6 +387,19 @@ def user_knn_by_family(spark, d):
     return neighbors.cosine_neighbors(features.min_max_weights(rows), hot_degree=100)
 
 
+@query
+def user_knn_by_family_pivots(spark, d):
+    """The same by the metric partition, which larger data would use."""
+    rows = _raw(spark, d).withColumn("prod_name", F.col("prod_family"))
+    return neighbors.cosine_neighbors(features.min_max_weights(rows), hot_degree=100, by="features")
+
+
+@query
+def user_knn_joined(spark, d):
+    """Neighbours by joins on the products, which larger data would use."""
+    return neighbors.cosine_neighbors(features.min_max_weights(_raw(spark, d)), by="features")
+
+
 @query
 def user_knn_history_without_self(spark, d):
     """Customers against the histories of the others."""
@@ -545,6 +558,50 @@ def hit_counts(spark, d):
     return evaluation.hit_counts(past, split.split_rows(raw, orders, "target"), "rows", "rows")
 
 
+# Stored models
+
+
+@query
+def recommend_user_stored(spark, d):
+    """Fitted into a store, then read from it for all customers."""
+    rows = _rows(spark, d)
+    store = model_store.ModelStore(spark, new_path(spark, "models"))
+    store.customers(rows, refit=True)
+    return store.customers(rows).recommend()
+
+
+def _product_models(spark, d):
+    """The stored model before feedback, and the same brought up to date with it."""
+    rows = _rows(spark, d)
+    fed = _with_feedback(spark, d, rows)
+    store = model_store.ModelStore(spark, new_path(spark, "models"))
+    before = store.products(rows, refit=True)
+    return before, store.products_after(before, fed)
+
+
+@query
+def refit_delta(spark, d):
+    """Product neighbours after feedback, of which only those are worked out anew that can change."""
+    return _product_models(spark, d)[1].neighbors
+
+
+@query
+def refit_affected(spark, d):
+    """How many products feedback changes, and how many neighbour lists that makes anew."""
+    before, after = _product_models(spark, d)
+    changed = save(model_store.changed_products(before.weights, after.weights), "changed")
+    stale = neighbors.renewed(before.neighbors, changed, "prod_name")
+    return stale.agg(F.count("*").alias("n_renewed")).select(
+        changed.agg(F.count("*")).scalar().alias("n_changed"), "n_renewed"
+    )
+
+
+@query
+def recommend_item_refitted(spark, d):
+    """Recommendations by the product model after feedback, for all customers."""
+    return _product_models(spark, d)[1].recommend()
+
+
 # Feedback
 
 
