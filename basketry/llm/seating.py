@@ -1,0 +1,224 @@
+"""Seating of a hierarchy of Pitman-Yor restaurants, with NumPy.
+
+A dish of depth k is a number of k + 1 bytes: the context's bytes, then the byte that follows. Per dish are kept the
+guests that came by themselves and the number of tables; every table is a guest of the dish without its first byte.
+
+A Gibbs step has the guests of one dish get up and sit down again one after the other, given all other tables of
+the restaurant. The next guest opens a table with weight (strength + discount x tables of the restaurant) x chance of
+the dish above, and joins one with weight (seated - discount x tables of the dish). From some seated guests on, the
+number that join before the next table is opened is drawn at once, by inverting the chance that so many do, a
+quotient of gamma functions: the law of guest by guest, in as many steps as there are tables. Dishes of one
+restaurant take turns in ``TURNS`` groups; a group gets up together.
+
+Discount and strength of each depth are drawn from a grid, by the chance of the seating and of the order in
+which tables were opened.
+"""
+
+import numpy as np
+
+TURNS = 16
+DISCOUNTS = np.linspace(0.05, 0.95, 10)
+STRENGTHS = np.array([0.1, 0.3, 1.0, 3.0, 10.0, 30.0])
+#: Seated guests from which the gamma quotient is taken by its expansion, right to some 1e-4 of its exponent.
+_MANY = 64
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the gamma function for positive numbers, by Stirling's series."""
+    x = np.asarray(x, dtype=float)
+    low, shift = x.copy(), np.zeros_like(x)
+    for _ in range(8):
+        small = low < 8
+        shift = np.where(small, shift + np.log(np.where(small, low, 1)), shift)
+        low = np.where(small, low + 1, low)
+    series = 1 / (12 * low) - 1 / (360 * low**3) + 1 / (1260 * low**5) - 1 / (1680 * low**7)
+    return (low - 0.5) * np.log(low) - low + 0.5 * np.log(2 * np.pi) + series - shift
+
+
+def seat(rng, guests, others, above, discount, strength, paths=None) -> np.ndarray:
+    """Tables of dishes whose guests sit down one after the other; ``others``: other tables of the restaurant.
+
+    ``paths`` collects, by discount of the grid, the log chance of joining as it happened.
+    """
+    tables = np.minimum(guests, 1)
+    seated = tables.copy()
+    active = np.flatnonzero(guests > 1)
+    begins, steps, shares = [], [], []
+    while len(active):
+        n, t = seated[active], tables[active]
+        weight = (strength + discount * (others[active] + t)) * above[active]
+        begin, most = n - discount * t, guests[active] - n
+        # One guest: joins with weight begin, opens a table with the other weight.
+        joined = (rng.random(len(active)) * (begin + weight) < begin).astype(np.int64)
+        many = begin >= _MANY
+        if many.any():
+            # ln gamma(x + m) - ln gamma(x) is m ln(x + (m - 1) / 2) but for terms of the order m^3 / x^2.
+            m = weight[many]
+            x = np.maximum(begin[many] + (m - 1) / 2, 1e-9)
+            bar = -np.log1p(-rng.random(len(m)))
+            with np.errstate(over="ignore"):
+                joined[many] = np.minimum(x * np.expm1(np.minimum(bar / m, 700)), most[many])
+        opened = np.where(many, joined < most, joined == 0)
+        if paths is not None:
+            some = joined > 0
+            begins.append(n[some])
+            steps.append(joined[some])
+            shares.append(t[some])
+        tables[active] += opened
+        seated[active] = n + joined + opened
+        active = active[seated[active] < guests[active]]
+    if begins:
+        n, joined, t = (np.concatenate(x) for x in (begins, steps, shares))
+        one = joined == 1
+        for i, d in enumerate(DISCOUNTS):
+            far = n[~one] - d * t[~one]
+            paths[i] += np.log(n[one] - d * t[one]).sum()
+            paths[i] += (log_gamma(far + joined[~one]) - log_gamma(far)).sum()
+    return tables
+
+
+class Levels:
+    """Restaurants of consecutive depths. A level is (depth, dishes, direct guests, tables)."""
+
+    def __init__(self, levels):
+        self.depth = [x[0] for x in levels]
+        self.keys = [x[1] for x in levels]
+        self.direct = [x[2] for x in levels]
+        self.tables = [x[3].copy() for x in levels]
+        self.contexts, self.restaurant, self.turns, self.up = [], [], [], []
+        for i, keys in enumerate(self.keys):
+            contexts, restaurant = np.unique(keys >> np.uint64(8), return_inverse=True)
+            rank = np.arange(len(keys)) - np.searchsorted(restaurant, restaurant)
+            self.contexts.append(contexts)
+            self.restaurant.append(restaurant)
+            self.turns.append([np.flatnonzero(rank % TURNS == turn) for turn in range(TURNS)])
+            mask = np.uint64((1 << (8 * self.depth[i])) - 1)
+            self.up.append(np.searchsorted(self.keys[i - 1], keys & mask) if i else None)
+
+    def total(self, i, values):
+        return np.bincount(self.restaurant[i], values, minlength=len(self.contexts[i]))
+
+    def guests(self, i, extra=None):
+        out = self.direct[i]
+        if i + 1 < len(self.keys):
+            sent = np.bincount(self.up[i + 1], self.tables[i + 1], minlength=len(out))
+            return out + sent.astype(np.int64)
+        return out if extra is None else out + extra
+
+    def chances(self, first_above, settings, extra=None):
+        """Per level the chances of its dishes and those above them; ``settings``: (discount, strength) by depth."""
+        out, own = [], None
+        for i in range(len(self.keys)):
+            above = own[self.up[i]] if i else first_above
+            discount, strength = settings[self.depth[i]]
+            n, t = self.guests(i, extra), self.tables[i]
+            fresh = (strength + discount * self.total(i, t))[self.restaurant[i]]
+            weight = (strength + self.total(i, n))[self.restaurant[i]]
+            own = (n - discount * t + fresh * above) / weight
+            out.append((own, above))
+        return out
+
+    def sweep(self, rng, first_above, settings, extra=None, learn=False):
+        """Seat every dish anew, from the deepest level up. Log chances of the grid by depth, if asked for."""
+        found = {}
+        chances = self.chances(first_above, settings, extra)
+        for i in range(len(self.keys) - 1, -1, -1):
+            guests, above = self.guests(i, extra), chances[i][1]
+            discount, strength = settings[self.depth[i]]
+            tables, own = self.tables[i], self.restaurant[i]
+            every = self.total(i, tables)
+            paths = np.zeros(len(DISCOUNTS)) if learn else None
+            for turn in self.turns[i]:
+                if len(turn):
+                    before = tables[turn]
+                    others = every[own[turn]] - before
+                    after = seat(rng, guests[turn], others, above[turn], discount, strength, paths)
+                    tables[turn] = after
+                    every += np.bincount(own[turn], after - before, minlength=len(every))
+            if learn:
+                found[self.depth[i]] = paths[:, None] + _fit(self.total(i, guests), every)
+        return found
+
+
+def _fit(guests, tables) -> np.ndarray:
+    """Log chance of the numbers of tables, by discount and strength of the grid, without the joiners' part."""
+    out = np.empty((len(DISCOUNTS), len(STRENGTHS)))
+    # Most restaurants are small and many are alike.
+    n, n_times = np.unique(guests, return_counts=True)
+    t, t_times = np.unique(tables, return_counts=True)
+    for j, s in enumerate(STRENGTHS):
+        taken = ((log_gamma(s + n) - log_gamma(np.array([s]))) * n_times).sum()
+        for i, d in enumerate(DISCOUNTS):
+            opened = log_gamma(s / d + t) - log_gamma(np.array([s / d])) + t * np.log(d)
+            out[i, j] = (opened * t_times).sum() - taken
+    return out
+
+
+def drawn(rng, logs: np.ndarray) -> tuple[float, float]:
+    """(discount, strength) drawn from the grid."""
+    chance = np.exp(logs - logs.max()).ravel()
+    at = int(rng.choice(len(chance), p=chance / chance.sum()))
+    return float(DISCOUNTS[at // len(STRENGTHS)]), float(STRENGTHS[at % len(STRENGTHS)])
+
+
+def placed(keys, n, deepest: int, least: int, first: int):
+    """Runs of ``deepest`` + 1 bytes as guests of the longest context that ``least`` or more bytes follow.
+
+    Levels from depth ``first`` on, and (dish, guests) of the runs that belong to the depth before it.
+    """
+    keys = keys.astype(np.uint64)
+    direct = {}
+    for depth in range(deepest, first - 1, -1):
+        dish = keys & np.uint64((1 << (8 * (depth + 1))) - 1)
+        _, at = np.unique(dish >> np.uint64(8), return_inverse=True)
+        seated = np.bincount(at, n)[at] >= least if len(at) else np.zeros(0, dtype=bool)
+        direct[depth] = counted(dish[seated], n[seated])
+        keys, n = keys[~seated], n[~seated]
+    levels, below = [], np.zeros(0, dtype=np.uint64)
+    for depth in range(deepest, first - 1, -1):
+        own, guests = direct[depth]
+        every = np.union1d(own, below & np.uint64((1 << (8 * (depth + 1))) - 1))
+        all_guests = np.zeros(len(every), dtype=np.int64)
+        all_guests[np.searchsorted(every, own)] = guests
+        levels.insert(0, (depth, every, all_guests, np.ones(len(every), dtype=np.int64)))
+        below = every
+    return levels, counted(keys & np.uint64((1 << (8 * first)) - 1), n)
+
+
+def counted(keys, n):
+    """Different keys with the sum of their numbers."""
+    different, at = np.unique(keys, return_inverse=True)
+    return different, np.bincount(at, n, minlength=len(different)).astype(np.int64)
+
+
+class Averages:
+    """Averaged chances of some levels: log10 per dish, log10 of what is left to others per context."""
+
+    def __init__(self, levels: Levels, means, first_above):
+        self.depth, self.dishes, self.contexts = levels.depth, [], []
+        for i, mean in enumerate(means):
+            above = means[i - 1][levels.up[i]] if i else first_above
+            left = np.maximum(1 - levels.total(i, mean), 1e-12)
+            left_above = np.maximum(1 - levels.total(i, above), 1e-12)
+            self.dishes.append((levels.keys[i], np.log10(np.maximum(mean, 1e-300))))
+            self.contexts.append((levels.contexts[i], np.log10(left / left_above)))
+
+    def add_up(self, runs: np.ndarray, out: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Add to ``out`` the part of these levels for the runs at ``left``; those that go on to shorter contexts."""
+        for i in range(len(self.depth) - 1, -1, -1):
+            dish = runs[left] & np.uint64((1 << (8 * (self.depth[i] + 1))) - 1)
+            hit, at = found(self.dishes[i][0], dish)
+            out[left[hit]] += self.dishes[i][1][at[hit]]
+            left, dish = left[~hit], dish[~hit]
+            known, at = found(self.contexts[i][0], dish >> np.uint64(8))
+            out[left[known]] += self.contexts[i][1][at[known]]
+        return left
+
+
+def found(keys, wanted):
+    """Whether each wanted number is among sorted keys, and where."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return keys[at] == wanted, at
