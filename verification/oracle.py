@@ -270,6 +270,8 @@ QUALIFY row_number() OVER (PARTITION BY prod_name
   ORDER BY transaction_date, transaction_id, prod_family, prod_subfamily) = 1"""),
     "ingest_purchases": sql(INBOX, f"SELECT {INBOX_COLUMNS} FROM inbox"),
     "ingest_menu": sql(MENU, "SELECT * FROM menu"),
+    "upload_purchases": sql(INBOX, f"SELECT {INBOX_COLUMNS} FROM inbox"),
+    "upload_menu": sql(MENU, "SELECT * FROM menu"),
     "menu_by_subfamily": sql(
         MENU + ["names AS (SELECT DISTINCT prod_subfamily, prod_name FROM menu)"],
         _paged("names", "prod_subfamily", "prod_name", "prod_name", 20, "prod_names"),

@@ -241,6 +241,18 @@ def ingest_menu(spark, d):
     return ingest.menu_table(_raw(spark, d), star_schema.categories(spark, d), **THRESHOLDS)
 
 
+@query
+def upload_purchases(spark, d):
+    """The purchase table of the plan that makes both tables."""
+    return ingest.upload(_raw(spark, d), star_schema.categories(spark, d), **THRESHOLDS)[0]
+
+
+@query
+def upload_menu(spark, d):
+    """The menu of the plan that makes both tables."""
+    return ingest.upload(_raw(spark, d), star_schema.categories(spark, d), **THRESHOLDS)[1]
+
+
 # Menu, history, lookup
 
 
@@ -317,7 +329,7 @@ def seed_products(spark, d):
 
 @query
 def wide_counts(spark, d):
-    """Counts per customer and product family, one column for each of five families."""
+    """Counts per customer and product family, one column for each of the 25 families."""
     rows = _raw(spark, d).withColumn("prod_name", F.col("prod_family"))
     names = [f"Brand#{i}" for i in range(1, 26)]
     return features.wide_counts(features.purchase_counts(rows), names)
