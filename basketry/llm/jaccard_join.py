@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry import storage
 from basketry.llm import tables
 from basketry.llm.components import components
 from basketry.llm.gram_sets import gram_sets, least_linked, shared_counts
+from basketry.llm.key_filter import key_filter, marking, passing
 from basketry.llm.words import mixed, slices
-from basketry.storage import save
+from basketry.storage import hand_over, save
 
 WORDS, THRESHOLD, ROWS, RECALL = 5, 0.8, 5, 0.9995
 #: A block of a bucket has about so many words and classes at most.
@@ -210,9 +212,15 @@ def similar_classes(
     )
     wanted = dealt.select("class").distinct()
     chosen = classes.join(wanted, "class").select("class", "copies", "bands", "doc_id", "text_key")
+    # Texts that no bucket wants are left out before the shuffle.
     texts = docs.select(
-        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text"
+        F.col("doc_id").alias("_id"),
+        F.xxhash64("text").alias("_key"),
+        F.xxhash64("doc_id", F.xxhash64("text")).alias("_both"),
+        "text",
     )
+    needed = key_filter(chosen.select(F.xxhash64("doc_id", "text_key").alias("both")), "both")
+    texts = passing(texts, "_both", needed).drop("_both")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     # Repeated rows give a class several equal texts; one is enough.
     members = chosen.join(texts, same).groupBy("class").agg(
@@ -252,6 +260,11 @@ def links_per_document(docs: DataFrame, **options) -> DataFrame:
     ``group_key`` tells groups apart even where ids repeat.
     Documents without words (null and empty ones too) have only equal texts as links, null and empty none.
     """
+    with storage.scope(docs.sparkSession):
+        return storage.hand_over(_links_per_document(docs, **options), "links_per_document")
+
+
+def _links_per_document(docs: DataFrame, **options) -> DataFrame:
     named, summary = similar_classes(docs, **options)
     empty = F.xxhash64(F.lit("")) == F.col("text_key")
     null = F.xxhash64(F.lit(None).cast("string")) == F.col("text_key")
@@ -281,22 +294,27 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
 
     Null and empty texts are groups of their own by id, so all of them stay, repeated rows once.
     """
-    rows = links_per_document(docs, **options)
-    best = (
-        rows.groupBy("group_key")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
-        .select(F.col("best.doc_id").alias("__llm_id"), F.col("best.text_key").alias("__llm_key"))
-    )
-    repeated = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("__llm_times"))
-    best = best.join(
-        repeated.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"}),
-        F.col("__llm_id").eqNullSafe(F.col("_d")) & (F.col("__llm_key") == F.col("_t")),
-    )
+    with storage.scope(docs.sparkSession):
+        rows = links_per_document(docs, **options).groupBy("group_key", "doc_id", "text_key")
+        times = save(rows.agg(F.count("*").alias("times")), "times")
+        best = times.groupBy("group_key").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+        stays = F.struct("doc_id", "text_key").eqNullSafe(F.col("best"))
+        # What goes, and what is there several times; all other rows stay as they are.
+        decided = times.join(best, "group_key").select(
+            F.col("doc_id").alias("__llm_id"),
+            F.col("text_key").alias("__llm_key"),
+            F.xxhash64("doc_id", "text_key").alias("__llm_both"),
+            stays.alias("__llm_stays"),
+        )
+        decided = hand_over(decided.filter(~stays | (F.col("times") > 1)), "decided")
+    both = F.xxhash64("doc_id", F.xxhash64("text")).alias("__llm_both")
+    marked = marking(docs.select("*", both), "__llm_both", key_filter(decided, "__llm_both"), "__llm_maybe")
+    surely = marked.filter("not __llm_maybe").select(*docs.columns)
     same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.xxhash64("text") == F.col("__llm_key"))
-    kept = docs.join(best.select("__llm_id", "__llm_key", "__llm_times"), same)
-    once = kept.filter("__llm_times = 1").select(*docs.columns)
-    more = kept.filter("__llm_times > 1").dropDuplicates(["__llm_id", "__llm_key"]).select(*docs.columns)
-    return once.unionByName(more)
+    maybe = marked.filter("__llm_maybe").select(*docs.columns).join(decided, same, "left")
+    once = maybe.filter("__llm_key is null").select(*docs.columns)
+    more = maybe.filter("__llm_stays").dropDuplicates(["__llm_id", "__llm_key"]).select(*docs.columns)
+    return surely.unionByName(once).unionByName(more)
 
 
 def op8_ngram_jaccard_join(spark, folder):

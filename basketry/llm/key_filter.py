@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 1 << 25
 
@@ -48,3 +49,17 @@ def passing(rows: DataFrame, key: str, cells: np.ndarray) -> DataFrame:
             yield batch.filter(pa.array(passes(sent.value, keys)))
 
     return rows.mapInArrow(of_batches, rows.schema)
+
+
+def marking(rows: DataFrame, key: str, cells: np.ndarray, name: str) -> DataFrame:
+    """All rows, with a boolean column: whether the key may be among those of the filter."""
+    place, sent = rows.columns.index(key), rows.sparkSession.sparkContext.broadcast(cells)
+
+    def of_batches(batches):
+        for batch in batches:
+            keys = batch.column(place).to_numpy(zero_copy_only=False)
+            maybe = pa.array(passes(sent.value, keys))
+            yield pa.RecordBatch.from_arrays([*batch.columns, maybe], names=[*batch.schema.names, name])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BooleanType())])
+    return rows.mapInArrow(of_batches, schema)
