@@ -179,7 +179,7 @@ def similar_classes(
         F.bit_xor(F.xxhash64("class")).alias("same_a"),
         F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("same_b"),
     )
-    kept = (
+    kept = save(
         buckets.filter("members > 1")
         .groupBy("members", "total", "same_a", "same_b")
         .agg(F.min(F.struct("band", "value")).alias("bucket"))
@@ -191,8 +191,13 @@ def similar_classes(
             )
             .cast("int")
             .alias("blocks"),
-        )
+        ),
+        "buckets",
     )
+    # Most band values are those of one class alone; they are left out before the shuffle.
+    bucket_key = F.xxhash64("band", "value")
+    shared_values = key_filter(kept.select(bucket_key.alias("bucket")), "bucket")
+    placed = passing(placed.withColumn("bucket", bucket_key), "bucket", shared_values).drop("bucket")
     # A class of block b takes part in the tasks (b, b), (b, later) and (earlier, b).
     block = F.pmod(F.xxhash64(F.lit(2), "class"), F.col("blocks")).cast("int")
     dealt = save(
