@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from basketry.storage import save
 
 BLOCK_ROWS, BLOCK_ENTRIES = 4096, 2_000_000
-#: A pair of the join is a row of its own; an entry that is copied is sent with others of its block.
-_PAIR_COST = 2.0
+#: An entry that is copied is a row of six numbers; a pair is a number and a weight in a list.
+_PAIR_COST = 0.3
 
 _SCORED = "q long, n long, gap double"
 
@@ -48,7 +48,7 @@ def grid_of(problem) -> Grid:
 
 
 def worth_it(grid: Grid, pairs: int) -> bool:
-    """Whether copying entries moves less than the pairs that a join on all features makes."""
+    """Whether copying entries moves less than the pairs that meet over all features."""
     return grid.cells <= _PAIR_COST * pairs
 
 

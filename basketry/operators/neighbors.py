@@ -12,12 +12,13 @@ leave a task (``blocked``). That is done if the entries it copies are fewer than
 
 Otherwise features are taken apart by how many ids have them:
 
-* **rare** (at most ``hot_degree`` ids): a join on the feature. Each row meets at most
-  ``hot_degree`` partners, so the join grows linearly with the data, and no key is skewed.
+* **rare** (at most ``hot_degree`` ids): each entry meets at most ``hot_degree`` partners, so the work grows
+  linearly with the data, and no key is skewed. Where all features are rare, queries get the lists of ids that
+  have their features and are complete in one task (``postings``); beside hot features, it is a join.
 * **hot** (more): never joined on. ``hot_features`` scores blocks of ids against blocks of ids and
   keeps only the k best of each block, so that the pairs of a hot feature are never written out.
 * **shared by nobody** (Euclidean only): without a common feature the nearest are simply those with
-  the smallest norm, k rows for the whole data set. They also bound how far the others may be.
+  the smallest norm, k rows for the whole data set.
 
 The three sets of candidates together hold the k nearest for certain; see ``hot_features`` for why.
 """
@@ -30,6 +31,8 @@ from pyspark.sql.window import Window
 
 from basketry.functions import grid
 from basketry.operators import blocked
+from basketry.operators.positions import with_position
+from basketry.operators.postings import posting_candidates
 from basketry.storage import save
 
 HOT_DEGREE = 512
@@ -93,10 +96,7 @@ def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, featu
     if by == "blocks" or (grid_ and blocked.worth_it(grid_, facts.pairs or 0)):
         candidates = blocked.block_candidates(problem, grid_)
     elif (facts.top or 0) <= hot_degree:
-        dots = rare_dots(problem, problem.queries, problem.base, tasks)
-        if metric == "euclidean":
-            dots = dots.filter(_near_enough(problem))
-        candidates = _gaps(dots, metric)
+        candidates = posting_candidates(problem, degrees, facts.pairs or 0)
     else:
         hot = save(
             degrees.filter(F.col("degree") > hot_degree)
@@ -171,7 +171,7 @@ def _prepare(metric, base, queries, keep, id_col, feature_col) -> Problem:
     q_sq = b_sq if symmetric else squared("q")
     norms = tagged.groupBy("id").agg(q_sq.alias("q_sq"), b_sq.alias("b_sq"))
     # A sorted number per id: compact keys for the pair tables, and the same order in every tie.
-    ids = save(norms.orderBy("id").withColumn("idx", F.monotonically_increasing_id()), "ids")
+    ids = save(with_position(norms, ["id"], "idx"), "ids")
 
     def vectors(side):
         own = ids.select("id", "idx", F.col(f"{side}_sq").alias("sq"))
@@ -254,28 +254,12 @@ def gap_of(metric: str):
     return (F.col("q_sq") + F.col("n_sq")) / 2 - F.col("dot")
 
 
-def _gaps(dots: DataFrame, metric: str) -> DataFrame:
-    return dots.select("q", "n", gap_of(metric).alias("gap"))
-
-
 def _smallest(problem: Problem) -> DataFrame:
     """The ``keep`` base ids of smallest norm."""
     known = problem.ids.filter(F.col("b_sq").isNotNull())
     return known.orderBy("b_sq", "idx").limit(problem.keep)
 
 
-def _near_enough(problem: Problem) -> Column:
-    """Whether a shared-feature pair can be among the nearest at all.
-
-    Every query has ``keep`` ids no farther than the smallest norms put them, whatever it shares
-    with them. A pair whose gap is larger than that by more than rounding is left out.
-    """
-    known = _smallest(problem).agg(F.count("*").alias("n"), F.max("b_sq").alias("sq"))
-    largest = known.select(F.when(F.col("n") == problem.keep, F.col("sq"))).scalar()
-    slack = 1e-6 * (1 + F.col("q_sq") + F.col("n_sq"))
-    return largest.isNull() | (F.col("n_sq") / 2 - F.col("dot") <= largest / 2 + slack)
-
-
 def _smallest_norms(problem: Problem) -> DataFrame:
     """Every query with the ``keep`` base ids of smallest norm, taken as sharing nothing with it."""
     smallest = (

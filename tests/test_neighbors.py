@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from basketry.operators import blocked, hot_features, neighbors
+from basketry.operators import blocked, hot_features, neighbors, postings
 
 SCHEMA = "cont_id string, prod_name string, weight double"
 
@@ -248,3 +248,32 @@ def test_pivots_are_far_apart(spark, rows):
         dense[i, f] = w
     where = away.argmin(axis=0)
     assert np.allclose(away, np.linalg.norm(dense[:, None] - dense[where][None], axis=2), atol=1e-6)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("held, per_task", [(10, 60), (4_000_000, 500)])
+def test_lists_match_brute_force(rows, monkeypatch, metric, held, per_task):
+    """Products that are added up in many steps, in many tasks; a feature of one side alone has many ids."""
+    monkeypatch.setattr(postings, "_HELD", held)
+    monkeypatch.setattr(postings, "_PAIRS_PER_TASK", per_task)
+    find = getattr(neighbors, f"{metric}_neighbors")
+    base, asked = skewed(3, 60) + [(f"x{i}", "unasked", 1.0) for i in range(50)], skewed(4, 30)
+    got = find(
+        rows(base, SCHEMA), k=2, queries=rows(asked, SCHEMA), include_self=False, hot_degree=45, by="features"
+    )
+    assert result(got) == brute(base, asked, metric, 2, False)
+
+
+def test_pairs_are_no_rows(spark, rows, monkeypatch):
+    """A hundred ids that share ten features: what leaves the tasks is k rows a query, not the pairs."""
+    data = [(f"c{i:03}", f"f{f}", 1.0 + (i * f) % 7) for i in range(100) for f in range(10)]
+    made, top = [], neighbors.top_candidates
+
+    def counted(candidates, *args):
+        made.append(candidates.count())
+        return top(candidates, *args)
+
+    monkeypatch.setattr(neighbors, "top_candidates", counted)
+    got = neighbors.cosine_neighbors(rows(data, SCHEMA), k=3, by="features")
+    assert result(got) == brute(data, data, "cosine", 3, True)
+    assert made == [300]
