@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketry.llm import tables
+from basketry.llm.key_filter import key_filter, marking
 from basketry.llm.words import slices
 from basketry.storage import save
 
@@ -207,15 +208,25 @@ def report(docs: DataFrame, items: DataFrame, size: int = SIZE, gram: int = GRAM
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """The documents that share no window with any item, with their columns unchanged."""
+    """The documents that share no window with any item, with their columns unchanged.
+
+    Only documents that pass a filter of those to be left out are shuffled for the join that decides.
+    """
     _, hits, _ = overlaps(docs, items, size, gram)
     bad = hits.select(
-        F.col("doc_id").alias("__llm_id"), F.col("text_key").alias("__llm_key")
-    ).distinct()
+        F.col("doc_id").alias("__llm_id"),
+        F.col("text_key").alias("__llm_key"),
+        F.xxhash64("doc_id", "text_key").alias("__llm_both"),
+    )
+    bad = save(bad.distinct(), "bad")
+    both = F.xxhash64("doc_id", F.xxhash64("text")).alias("__llm_both")
+    marked = marking(docs.select("*", both), "__llm_both", key_filter(bad, "__llm_both"), "__llm_maybe")
     same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (
         F.xxhash64("text") == F.col("__llm_key")
     )
-    return docs.join(bad, same, "left_anti")
+    surely = marked.filter("not __llm_maybe").select(*docs.columns)
+    maybe = marked.filter("__llm_maybe").select(*docs.columns)
+    return surely.unionByName(maybe.join(bad, same, "left_anti"))
 
 
 def op6_winnowing_decontamination(spark, folder):

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from basketry.llm import decontamination
 from tests.llm.plain import words
 
@@ -61,6 +63,21 @@ def test_clean_keeps_columns_and_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [11, 14, 15]
 
 
+def test_clean_documents_stay_where_they_are(spark):
+    """Only documents that may be left out are shuffled for the join, however large the list of them."""
+    docs, items = tables(spark, [(i, f"text {i} of its own") for i in range(60)] + DOCS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = decontamination.clean(docs.repartition(30), items).select(
+            "doc_id", F.spark_partition_id().alias("part")
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.doc_id for r in kept) == sorted([*range(10), 11, 14, 15, *range(10, 60)])
+    assert len({r.part for r in kept}) > 8
+
+
 def test_empty_tables(spark):
     docs, items = tables(spark)
     rows = decontamination.report(docs, items.limit(0)).collect()
