@@ -277,3 +277,19 @@ def test_pairs_are_no_rows(spark, rows, monkeypatch):
     got = neighbors.cosine_neighbors(rows(data, SCHEMA), k=3, by="features")
     assert result(got) == brute(data, data, "cosine", 3, True)
     assert made == [300]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_wide_blocks_match_brute_force(rows, monkeypatch, metric):
+    """Blocks of several strips."""
+    monkeypatch.setattr(blocked, "BLOCK_ROWS", 11)
+    monkeypatch.setattr(blocked, "BLOCKS", 2)
+    data = skewed(8)
+    got = getattr(neighbors, f"{metric}_neighbors")(rows(data, SCHEMA), k=6, by="blocks")
+    assert result(got) == brute(data, data, metric, 6, True)
+
+
+def test_copies_grow_slowly():
+    """600,000 ids are copied a dozen times, not once for every 4,096 ids."""
+    assert blocked._blocks(15_000, 300_000) == 4
+    assert blocked._blocks(600_000, 9_600_000) <= 12
