@@ -1,6 +1,7 @@
 import itertools
 
 import corpus_pipeline
+import pyarrow as pa
 from basketry.llm import pii, tables, toxicity
 from basketry.storage import save
 from pyspark.sql import functions as F
@@ -88,3 +89,21 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
         empty = stage(spark, empty, folder)
         assert empty.count() == 0
         empty = docs.limit(0)
+
+
+def test_stages_bound_the_batches_of_texts(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    try:
+        for allowed, most in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("300", 300)):
+            spark.conf.set(setting, allowed)
+            corpus_pipeline.STAGES[3][1](spark, docs, FOLDER)
+            assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] == most
+    finally:
+        spark.conf.set(setting, before)
