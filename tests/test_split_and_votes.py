@@ -141,3 +141,17 @@ def test_random_customer_depends_on_the_seed_only(log):
     draws = {split.random_customer(log.repartition(n), 7).first().cont_id for n in (1, 5)}
     assert len(draws) == 1
     assert len({split.random_customer(log, seed).first().cont_id for seed in range(12)}) > 1
+
+
+def test_votes_are_shuffled_once_for_the_ranking(spark, rows):
+    nearest = rows(
+        [("c", "n1", 1), (None, "n2", 2)], "cont_id string, neighbor_id string, neighbor_rank int"
+    )
+    targets = rows(
+        [("n1", "A", 5), ("n2", "A", 1), ("n2", "B", 2)], "neighbor_id string, prod_name string, cnt long"
+    )
+    best = voting.best_products(voting.votes(nearest, targets, "sum"))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(cont_id") == 1
+    got = sorted(((r.cont_id, r.prod_name, r.score, r["rank"]) for r in best.collect()), key=repr)
+    assert got == [("c", "A", 5, 1), (None, "A", 1, 2), (None, "B", 2, 1)]
