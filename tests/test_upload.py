@@ -40,3 +40,15 @@ def test_an_empty_log(rows):
     categories = rows([], "prod_family string, prod_subfamily string, category1 string, category2 string")
     purchases, menu = ingest.upload(rows([], RAW_PURCHASES), categories)
     assert purchases.count() == 0 and menu.count() == 0
+
+
+def test_product_thresholds_are_worked_out_once(spark):
+    """The rows that sell are read twice; neither reading counts the products' orders again."""
+    raw = spark.createDataFrame(
+        [("c1", f"t{i}", datetime.datetime(2024, 1, 1), "p", "F", "S", name) for i in range(3) for name in ("A", "B")]
+        + [("c1", "t0", datetime.datetime(2024, 1, 1), "p", "F", "S", "C")],
+        RAW_PURCHASES,
+    )
+    rows = ingest._selling(raw, min_customer_orders=1, min_product_orders=2, cutoff="2020-01-01")
+    assert "Aggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.prod_name for r in rows.collect()) == ["A"] * 3 + ["B"] * 3
