@@ -1,4 +1,5 @@
 import datetime
+from unittest.mock import MagicMock
 
 import pytest
 
@@ -7,6 +8,7 @@ from basketry.schemas import PURCHASES
 from basketry.sources import files
 from basketry.sources.tables import Dataset
 from basketry.streaming.feedback import record_suggestions, request_stream
+from verification import queries
 
 NOW = "2024-01-01 10:00:00"
 OLD = datetime.datetime(2020, 1, 1)
@@ -152,3 +154,19 @@ def test_menu_lists_and_head(rows):
     assert menu.subfamilies_by_family(df).first().prod_subfamilies == [f"S{s}" for s in range(5)]
     head = menu.menu_head(df).collect()
     assert {r.prod_subfamily for r in head} == {"S0", "S1", "S2"} and len(head) == 9
+
+
+@pytest.mark.parametrize("name", ["purchases_with_feedback", "reset_feedback"])
+def test_both_tables_come_from_one_join_of_the_raw_log(name, monkeypatch):
+    made, menus = [], []
+    monkeypatch.setattr(queries, "_raw", lambda spark, d: made.append(d) or "raw")
+    monkeypatch.setattr(queries, "save", lambda df, label: df)
+    monkeypatch.setattr(queries, "new_path", lambda spark, label: label)
+    monkeypatch.setattr(queries, "_suggestions", lambda *given: None)
+    monkeypatch.setattr(queries, "tables", MagicMock())
+    monkeypatch.setattr(queries, "star_schema", MagicMock())
+    monkeypatch.setattr(queries, "recommend", MagicMock())
+    monkeypatch.setattr(queries, "ingest", MagicMock())
+    queries.ingest.menu_table = lambda raw, *given, **limits: menus.append(raw)
+    queries.QUERIES[name](None, "folder")
+    assert made == ["folder"] and menus == ["raw"]

@@ -46,13 +46,19 @@ def _supported(spark, d):
     return cleaning.keep_supported_products(_active(spark, d), star_schema.MIN_PRODUCT_ORDERS)
 
 
-def _inbox(spark, d):
-    return ingest.purchase_table(_raw(spark, d), star_schema.categories(spark, d), **THRESHOLDS)
+def _kept_raw(spark, d):
+    """The raw log, which ingest reads for the customers' orders and again for the rows: joined once."""
+    return save(_raw(spark, d), "raw")
 
 
-def _rows(spark, d):
+def _inbox(spark, d, raw=None):
+    raw = raw or _kept_raw(spark, d)
+    return ingest.purchase_table(raw, star_schema.categories(spark, d), **THRESHOLDS)
+
+
+def _rows(spark, d, raw=None):
     """Serving rows without suggestions, kept since every plan below reads them several times."""
-    rows = recommend.serving_rows(_inbox(spark, d), words=star_schema.EXCLUDED_WORDS)
+    rows = recommend.serving_rows(_inbox(spark, d, raw), words=star_schema.EXCLUDED_WORDS)
     return save(rows, "serving")
 
 
@@ -240,8 +246,8 @@ def ingest_purchases(spark, d):
 
 
 @query
-def ingest_menu(spark, d):
-    return ingest.menu_table(_raw(spark, d), star_schema.categories(spark, d), **THRESHOLDS)
+def ingest_menu(spark, d, raw=None):
+    return ingest.menu_table(raw or _raw(spark, d), star_schema.categories(spark, d), **THRESHOLDS)
 
 
 @query
@@ -639,8 +645,9 @@ def feedback_unknown_names(spark, d):
 @query
 def purchases_with_feedback(spark, d):
     data = tables.Dataset(spark, new_path(spark, "dataset"))
-    rows = _rows(spark, d)
-    data.create(rows, ingest_menu(spark, d))
+    raw = _kept_raw(spark, d)
+    rows = _rows(spark, d, raw)
+    data.create(rows, ingest_menu(spark, d, raw))
     data.append_suggestions(_suggestions(spark, d, rows))
     return data.purchases()
 
@@ -648,8 +655,9 @@ def purchases_with_feedback(spark, d):
 @query
 def reset_feedback(spark, d):
     data = tables.Dataset(spark, new_path(spark, "dataset"))
-    rows = _rows(spark, d)
-    data.create(rows, ingest_menu(spark, d))
+    raw = _kept_raw(spark, d)
+    rows = _rows(spark, d, raw)
+    data.create(rows, ingest_menu(spark, d, raw))
     data.append_suggestions(_suggestions(spark, d, rows))
     data.reset_suggestions()
     return data.purchases()
