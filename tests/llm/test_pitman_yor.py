@@ -129,3 +129,42 @@ def test_odd_rows_and_no_training(spark):
     facts = pitman_yor.perplexity(scores).first()
     assert facts.n_tokens == 3001 + 1 + 1 + 3 + 3 and 1 <= facts.perplexity
     assert scores.filter(F.col("doc_id") == 3).select("score").distinct().count() == 1
+
+
+def test_contexts_below_the_core_have_restaurants(spark):
+    """Runs, counts and customers are whole, and chances of a tree's contexts add up to one."""
+    text = "the cat sat on the mat and the dog ate the rat " * 20 + "zebra quagga gnu zebra quagga"
+    count = Counter(plain_runs(text))
+    grams = spark.createDataFrame([(k, n) for k, n in count.items()], "key long, n long")
+    seated = pitman_yor.customers(grams, share=0.05).toPandas()
+    columns = [seated[c].to_numpy() for c in ("depth", "dish", "n")]
+    core = pitman_yor.sample_model(pitman_yor.by_depth(*columns))
+    keys, n = (np.array(x, dtype=t) for x, t in ((list(count), np.uint64), (list(count.values()), np.int64)))
+    own = core.depth(keys) < 5
+    assert own.any()
+    levels = pitman_yor.trees(keys[own], n[own], core)
+    assert levels[5].direct.sum() == n[own].sum()
+    model = pitman_yor.sample_trees(levels, core, 1)
+    for context in {int(k) >> 8 for k in keys[own][:40]} | {0x7A7A7A7A7A, int.from_bytes(b"xagga", "big")}:
+        runs = np.array([(context << 8) | b for b in range(256)], dtype=np.uint64)
+        chance = 10 ** model.log_chance(runs)
+        assert math.isclose(chance.sum(), 1, rel_tol=1e-6) and (chance > 0).all()
+    assert n[own] @ model.log_chance(keys[own]) > n[own] @ core.log_chance(keys[own])
+    depth, dish, sent = pitman_yor.sent_to_core(levels)
+    assert core.depth(dish[depth < 5]).max() <= 4 and 0 < sent.sum() <= n[own].sum() and sent.min() >= 1
+
+
+def test_a_rare_passage_is_known(spark):
+    """Its contexts are under SHARE of the training bytes; the core alone gives it far less."""
+    rng = np.random.default_rng(1)
+    letters = np.array([*"abcdefghijklmnopqrstuvwxyz"])
+    frequent = ["".join(rng.choice(letters, 6)) for _ in range(40)]
+    passage = " ".join("".join(rng.choice(letters, 8)) for _ in range(60))
+    texts = [" ".join(rng.choice(frequent, 3000)) for _ in range(60)] + [passage] * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    core, counts = pitman_yor.learn(docs)
+    asked = spark.createDataFrame([(1, passage), (2, "".join(rng.choice(letters, len(passage))))], docs.schema)
+    known, other = (r.score for r in pitman_yor.log_scores(asked, core, counts).orderBy("doc_id").collect())
+    words = next(slices(pa.array([passage]), NO_BLANKS))[1]
+    alone = core.log_chance(pitman_yor.runs(words)[0]).sum()
+    assert known > 0.5 * alone and known > -0.6 * len(passage) and other < -len(passage)
