@@ -48,11 +48,19 @@ def column_bounds(counts: DataFrame) -> DataFrame:
 
 
 def min_max_weights(purchases: DataFrame) -> DataFrame:
-    """Counts rescaled to 0..1 per product."""
+    """Counts rescaled to 0..1 per product.
+
+    The bounds are those of ``column_bounds``. They are found beside the counts, of which a product has one a customer,
+    so that the counts are shuffled once by product and the weights are written product by product.
+    """
     counts = save(purchase_counts(purchases), "counts")
-    scaled = counts.join(column_bounds(counts), "prod_name")
-    cnt, low, high = (F.col(c).cast("double") for c in ("cnt", "low", "high"))
-    weights = scaled.select("cont_id", "prod_name", min_max(cnt, low, high).alias("weight"))
+    n_customers = counts.agg(F.count_distinct("cont_id")).scalar()
+    own = Window.partitionBy("prod_name")
+    cnt, low, high = (
+        c.cast("double") for c in (F.col("cnt"), F.min("cnt").over(own), F.max("cnt").over(own))
+    )
+    least = F.when(F.count("*").over(own) == n_customers, low).otherwise(F.lit(0.0))
+    weights = counts.select("cont_id", "prod_name", min_max(cnt, least, high).alias("weight"))
     return save(weights, "weights")
 
 

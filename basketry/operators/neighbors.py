@@ -51,6 +51,7 @@ class Problem:
     queries: DataFrame  # idx, feature, w, sq
     base: DataFrame  # same columns
     symmetric: bool
+    features: dict[str, DataFrame]  # the feature of each entry, by side, as the entries were given
 
 
 def distance(gap: Column, metric: str) -> Column:
@@ -85,10 +86,14 @@ def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, featu
         metric, base, queries, k if include_self else k + 1, id_col, feature_col
     )
     degrees = _degrees(problem)
+    shared = F.col("degree").isNotNull()
     facts = degrees.agg(
         F.max("degree").alias("top"),
         F.sum(F.when(F.col("degree") <= hot_degree, F.col("work"))).alias("work"),
         F.sum(F.col("work").cast("double")).alias("pairs"),
+        *[F.sum(n).alias(f"all_{n}") for n in ("nb", "nq")],
+        *[F.sum(F.when(shared, F.col(n))).alias(f"met_{n}") for n in ("nb", "nq")],
+        F.max(F.when(~shared, F.col("nb"))).alias("lone"),
     ).first()
     tasks = 1 + int(facts.work or 0) // _PAIRS_PER_TASK
     grid_ = blocked.grid_of(problem) if by != "features" else None
@@ -96,7 +101,12 @@ def _neighbors(metric, base, k, queries, include_self, hot_degree, id_col, featu
     if by == "blocks" or (grid_ and blocked.worth_it(grid_, facts.pairs or 0)):
         candidates = blocked.block_candidates(problem, grid_)
     elif (facts.top or 0) <= hot_degree:
-        candidates = posting_candidates(problem, degrees, facts.pairs or 0)
+        # Features that one side alone has make no pair. They are looked for only where that leaves out most entries of
+        # the side, or where too many ids of the base have one to be a list.
+        most = {"base": (facts.lone or 0) > hot_degree or (facts.all_nb or 0) > 2 * (facts.met_nb or 0),
+                "queries": (facts.all_nq or 0) > 2 * (facts.met_nq or 0)}
+        known = {side: degrees.filter(shared).select("feature") for side, trim in most.items() if trim}
+        candidates = posting_candidates(problem, known, facts.pairs or 0)
     else:
         hot = save(
             degrees.filter(F.col("degree") > hot_degree)
@@ -182,20 +192,30 @@ def _prepare(metric, base, queries, keep, id_col, feature_col) -> Problem:
 
     b_vectors = vectors("b")
     q_vectors = b_vectors if symmetric else vectors("q")
-    return Problem(metric, keep, ids, q_vectors, b_vectors, symmetric)
+    given = {side: rows.filter(F.col("id").isNotNull() & (F.col("w") > 0)) for side, rows in sides.items()}
+    given = {side: rows.select("feature") for side, rows in given.items()}
+    return Problem(metric, keep, ids, q_vectors, b_vectors, symmetric, given)
 
 
 def _degrees(problem: Problem) -> DataFrame:
-    """Ids per feature on the larger side, and the pairs that joining on it would make."""
-    base = problem.base.groupBy("feature").agg(F.count("*").alias("nb"))
+    """feature, nb and nq ids on either side; where both have it, the larger and the pairs that joining on it would make.
+
+    Counted on the entries as they were given: weights are written product by product, so that Spark adds up most
+    before the shuffle; the vectors are dealt by id.
+    """
+    base = problem.features["b"].groupBy("feature").agg(F.count("*").alias("nb"))
     if problem.symmetric:
         return base.select(
-            "feature", F.col("nb").alias("degree"), (F.col("nb") * F.col("nb")).alias("work")
+            "feature", "nb", F.col("nb").alias("nq"), F.col("nb").alias("degree"),
+            (F.col("nb") * F.col("nb")).alias("work"),
         )
-    asked = problem.queries.groupBy("feature").agg(F.count("*").alias("nq"))
-    return base.join(asked, "feature").select(
+    asked = problem.features["q"].groupBy("feature").agg(F.count("*").alias("nq"))
+    both = F.col("nb").isNotNull() & F.col("nq").isNotNull()
+    return base.join(asked, "feature", "full").select(
         "feature",
-        F.greatest("nb", "nq").alias("degree"),
+        "nb",
+        "nq",
+        F.when(both, F.greatest("nb", "nq")).alias("degree"),
         (F.col("nb") * F.col("nq")).alias("work"),
     )
 

@@ -1,9 +1,9 @@
 """Dot products over features that few ids have, complete for a query before anything leaves its task.
 
 The base ids of a feature, at most ``hot_degree`` of them, are collected as one list. A copy of the list goes to every
-query that has the feature, as arrays of numbers; a task holds all lists of its queries, adds up the products and lets
-go of all but the ``keep`` nearest of each query. So a pair of ids is a number in an array and never a row: it is
-neither shuffled again to be summed up nor sorted to be ranked.
+query that has the feature, as arrays of numbers; a task holds all lists of its queries, adds up the products, some
+queries at a time, and lets go of all but the ``keep`` nearest of each. So a pair of ids is a number in an array and
+never a row: it is neither shuffled again to be summed up nor sorted to be ranked.
 """
 
 import numpy as np
@@ -11,36 +11,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs that a task is to meet, and products that it holds before they are added up.
-_PAIRS_PER_TASK, _HELD = 4_000_000, 4_000_000
+#: Pairs that a task is to meet, and pairs whose lists it holds before they are added up.
+_PAIRS_PER_TASK, _HELD = 4_000_000, 8_000_000
+#: Bits for the place of a pair and for the query in a chunk that is added up at once: with 32 for the id, 63.
+_PLACE_BITS, _QUERY_BITS = 17, 14
 
 _SCORED = "q long, n long, gap double"
 
 
-def posting_candidates(problem, degrees: DataFrame, pairs: float) -> DataFrame:
+def posting_candidates(problem, known: dict[str, DataFrame | None], pairs: float) -> DataFrame:
     """The ``keep`` nearest of each query among those that share a feature: q, n, gap.
 
-    ``degrees`` names the features that both sides have, with at most a bounded number of ids on either.
+    On a feature that both sides have, either has at most a bounded number of ids. ``known`` names these features for
+    the sides (``queries``, ``base``) of which most entries have others; with none, all entries of a side are dealt.
     """
     euclidean = problem.metric == "euclidean"
     # Numbers of ids are dense, so 32 bits do for them in the lists.
     listed = [F.col("idx").cast("int").alias("n"), "w", *(["sq"] if euclidean else [])]
     tasks = 1 + int(pairs) // _PAIRS_PER_TASK
 
-    def dealt(rows):
-        # Features that only one side has make no pair, and may have any number of ids.
-        known = rows if problem.symmetric else rows.join(degrees.select("feature"), "feature", "left_semi")
-        return known.repartition(tasks, "feature") if tasks > 1 else known
+    def dealt(side):
+        rows = getattr(problem, side)
+        if not problem.symmetric:
+            rows = rows.filter(F.col("feature").isNotNull())
+        if known.get(side) is not None:
+            rows = rows.join(known[side], "feature", "left_semi")
+        return rows.repartition(tasks, "feature") if tasks > 1 else rows
 
-    def lists(rows, name):
-        return rows.groupBy("feature").agg(F.collect_list(F.struct(*listed)).alias(name))
-
-    offered = lists(dealt(problem.base), "base")
+    offered = dealt("base").groupBy("feature").agg(F.collect_list(F.struct(*listed)).alias("base"))
     if problem.symmetric:
         met = offered.select("base", F.inline("base"))
     else:
-        asked = lists(dealt(problem.queries), "asked")
-        met = asked.join(offered, "feature").select("base", F.inline("asked"))
+        met = dealt("queries").select("feature", *listed).join(offered, "feature").drop("feature")
     met = met.select(
         F.col("n").alias("q"),
         F.col("w").alias("q_w"),
@@ -60,54 +62,101 @@ def posting_candidates(problem, degrees: DataFrame, pairs: float) -> DataFrame:
 
 
 class _Held:
-    """Products of queries and base ids, added up whenever there are many."""
+    """Lists of base ids that queries meet. A part is (key, dot) and, for Euclidean distances, half the squares' sum:
+    one row a pair, in the order of the key, which is the query's number above the base id's."""
 
     def __init__(self, keep: int, metric: str):
         self.keep, self.metric = keep, metric
-        self.parts, self.size, self.summed = [], 0, 0
+        self.batches, self.held = [], 0
+        self.parts, self.size, self.merged = [], 0, 0
 
     def add(self, batch: pa.RecordBatch) -> None:
         """One batch of (q, q_w, n, n_w) and, for Euclidean distances, (q_sq, n_sq)."""
         lists = batch.column("n")
-        ends = lists.value_lengths().to_numpy(zero_copy_only=False).cumsum()
-        numbers, weights = lists.flatten().to_numpy(), batch.column("n_w").flatten().to_numpy()
-        low = 0
-        while low < len(ends):
-            before = ends[low - 1] if low else 0
-            # Whole lists up to the bound, one at least.
-            high = max(low + 1, int(np.searchsorted(ends, before + _HELD, side="right")))
-            rows, cells = slice(low, high), slice(before, ends[high - 1])
-            counts = np.diff(ends[rows], prepend=before)
-            spread = lambda name: np.repeat(batch.column(name).to_numpy()[rows], counts)
-            key = (spread("q").astype(np.int64) << 32) | numbers[cells]
-            part = [key, spread("q_w") * weights[cells]]
-            if self.metric == "euclidean":
-                part.append((spread("q_sq") + batch.column("n_sq").flatten().to_numpy()[cells]) / 2)
+        rows = [lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("q").to_numpy()]
+        cells = [lists.flatten().to_numpy(), batch.column("n_w").flatten().to_numpy()]
+        rows.append(batch.column("q_w").to_numpy())
+        if self.metric == "euclidean":
+            rows.append(batch.column("q_sq").to_numpy())
+            cells.append(batch.column("n_sq").flatten().to_numpy())
+        self.batches.append((rows, cells))
+        self.held += len(cells[0])
+        if self.held >= _HELD:
+            self._sum()
+            # What is merged already is not taken up again until as much has come.
+            if self.size >= _HELD + 2 * self.merged:
+                self._merge()
+
+    def _sum(self) -> None:
+        for part in self._chunks():
             self.parts.append(part)
-            self.size += len(key)
-            # What is summed up already is not taken up again until as much has come.
-            if self.size >= _HELD + 2 * self.summed:
-                self._sum()
+            self.size += len(part[0])
+
+    def _chunks(self):
+        """The lists that are held, added up: parts of whole queries in their order, as far as they are held."""
+        batches, self.batches, self.held = self.batches, [], 0
+        if not batches:
+            return
+        counts, q, *values = (np.concatenate(column) for column in zip(*(rows for rows, _ in batches)))
+        cells = [np.concatenate(column) for column in zip(*(cells for _, cells in batches))]
+        del batches
+        starts = np.cumsum(counts) - counts
+        order = np.argsort(q, kind="stable")
+        counts, q, starts = counts[order], q[order].astype(np.int64), starts[order]
+        values = [value[order] for value in values]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        rows_to = np.append(first[1:], len(q))
+        pairs_to = np.cumsum(counts)[rows_to - 1]
+        low = 0
+        while low < len(first):
+            before = pairs_to[low - 1] if low else 0
+            # Whole queries up to the bound, one at least.
+            high = int(np.searchsorted(pairs_to, before + (1 << _PLACE_BITS), side="right"))
+            high = max(low + 1, min(high, low + (1 << _QUERY_BITS)))
+            rows = slice(first[low], rows_to[high - 1])
             low = high
+            mine, total = counts[rows], int(counts[rows].sum())
+            if not total:
+                continue
+            ends = np.cumsum(mine)
+            place = np.arange(total)
+            at = np.repeat(starts[rows] - (ends - mine), mine) + place
+            asked, numbers = np.repeat(q[rows], mine), cells[0][at].astype(np.int64)
+            key = (asked << 32) | numbers
+            if total <= 1 << _PLACE_BITS:
+                # The place is sorted along with the key, which is faster than sorting places by it.
+                within = np.repeat(np.cumsum(np.diff(q[rows], prepend=q[rows][0]) > 0), mine)
+                packed = (((within << 32) | numbers) << _PLACE_BITS) | place
+                packed.sort()
+                order = packed & ((1 << _PLACE_BITS) - 1)
+            else:
+                order = np.argsort(key, kind="stable")
+            part = [key, np.repeat(values[0][rows], mine) * cells[1][at]]
+            if self.metric == "euclidean":
+                part.append((np.repeat(values[1][rows], mine) + cells[2][at]) / 2)
+            yield _added(part, order)
 
-    def _sum(self) -> None:
-        key, *values = (np.concatenate(column) for column in zip(*self.parts))
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        summed = [key[first], np.add.reduceat(values[0][order], first)]
-        if len(values) > 1:
-            summed.append(values[1][order][first])
-        self.parts, self.size, self.summed = [summed], len(first), len(first)
+    def _merge(self) -> None:
+        if len(self.parts) > 1:
+            whole = [np.concatenate(column) for column in zip(*self.parts)]
+            self.parts = [_added(whole, np.argsort(whole[0], kind="stable"))]
+        self.size = self.merged = len(self.parts[0][0]) if self.parts else 0
 
     def nearest(self):
         """The ``keep`` nearest of each query by (distance, id), in batches."""
-        if not self.size:
-            return
-        self._sum()
-        key, dot, *half = self.parts[0]
-        self.parts = []
-        gap = (half[0] if half else 1.0) - dot
+        if self.parts:
+            self._sum()
+            self._merge()
+            parts, self.parts = self.parts, []
+        else:
+            parts = self._chunks()
+        found = [self._nearest(*part) for part in parts]
+        if found:
+            q, n, gap = (np.concatenate(column) for column in zip(*found))
+            yield from pa.table({"q": q, "n": n, "gap": gap}).to_batches(max_chunksize=65_536)
+
+    def _nearest(self, key, dot, half=1.0):
+        gap = half - dot
         clean = np.floor(np.maximum(gap, 0.0) * 1e12 + 0.5) / 1e12
         dist = clean if self.metric == "cosine" else np.sqrt(2.0 * clean)
         dist = np.floor(dist * 1e8 + 0.5) / 1e8
@@ -117,8 +166,7 @@ class _Held:
         order = near[np.lexsort((dist[near], q[near]))]
         mine = q[order]
         order = order[np.arange(len(mine)) - np.searchsorted(mine, mine) < self.keep]
-        table = pa.table({"q": q[order], "n": key[order] & 0xFFFFFFFF, "gap": gap[order]})
-        yield from table.to_batches(max_chunksize=65_536)
+        return q[order], key[order] & 0xFFFFFFFF, gap[order]
 
     def _near(self, q: np.ndarray, dist: np.ndarray) -> np.ndarray:
         """Whether a pair is no farther than the ``keep``-th of its query; all pairs of a query with few."""
@@ -130,3 +178,10 @@ class _Held:
             mine = dist[low:high]
             near[low:high] = mine <= np.partition(mine, self.keep - 1)[self.keep - 1]
         return near
+
+
+def _added(part, order):
+    """Pairs with their products added up, in the given order, which is that of their keys."""
+    key, dot, *half = (column[order] for column in part)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return [key[first], np.add.reduceat(dot, first), *[column[first] for column in half]]

@@ -293,3 +293,53 @@ def test_copies_grow_slowly():
     """600,000 ids are copied a dozen times, not once for every 4,096 ids."""
     assert blocked._blocks(15_000, 300_000) == 4
     assert blocked._blocks(600_000, 9_600_000) <= 12
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("shared", [50, 4])
+def test_lists_deal_each_entry_once(rows, monkeypatch, metric, shared):
+    """Entries go to their feature once, lists to the queries once. Features of one side alone change no result."""
+    plans, find_lists = [], neighbors.posting_candidates
+
+    def kept(*args):
+        found = find_lists(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(neighbors, "posting_candidates", kept)
+    monkeypatch.setattr(postings, "_PAIRS_PER_TASK", 20)
+    base = [(f"c{i % 20}", f"f{i * 7 % 50}", 1.0 + i % 3) for i in range(100)]
+    asked = [(f"c{i % 15}", f"f{i * 3 % 50}" if i * 3 % 50 < shared else f"g{i}", 1.0 + i % 4) for i in range(90)]
+    got = getattr(neighbors, f"{metric}_neighbors")(
+        rows(base, SCHEMA), k=3, queries=rows(asked, SCHEMA), include_self=False, by="features"
+    )
+    assert result(got) == brute(base, asked, metric, 3, False)
+    if shared == 50:
+        assert plans[0].count("Exchange hashpartitioning") == plans[0].count("REPARTITION_BY_NUM") == 3
+
+
+def test_a_query_in_many_lists_is_added_up_once(monkeypatch):
+    """Queries of more pairs than a chunk has places for, beside small ones; whatever arrives when."""
+    rng = np.random.default_rng(4)
+    for bits, held in ((17, 10**6), (4, 10**6), (4, 30)):
+        monkeypatch.setattr(postings, "_PLACE_BITS", bits)
+        monkeypatch.setattr(postings, "_QUERY_BITS", 2)
+        monkeypatch.setattr(postings, "_HELD", held)
+        q = rng.integers(0, 12, 60).astype(np.int32)
+        lists = [rng.choice(40, rng.integers(0, 9), replace=False).astype(np.int32) for _ in q]
+        w, weights = rng.integers(1, 5, 60) / 8, [rng.integers(1, 5, len(n)) / 8 for n in lists]
+        batch = postings.pa.record_batch({
+            "q": q, "q_w": w, "n": postings.pa.array(lists), "n_w": postings.pa.array(weights),
+        })
+        taken = postings._Held(5, "cosine")
+        for low in range(0, 60, 7):
+            taken.add(batch.slice(low, 7))
+        got = [tuple(r.values()) for b in taken.nearest() for r in b.to_pylist()]
+        dots = np.zeros((12, 40))
+        for i, x, n, v in zip(q, w, lists, weights):
+            np.add.at(dots[i], n, x * v)
+        expected = []
+        for i in range(12):
+            best = sorted((max(1 - d, 0.0), n) for n, d in enumerate(dots[i]) if d > 0)[:5]
+            expected += [(i, n, 1 - dots[i, n]) for _, n in best]
+        assert got == expected

@@ -12,6 +12,7 @@ from basketry.sources import files, star_schema
 from basketry.sources.tables import Dataset
 from basketry.streaming.feedback import record_suggestions, request_stream
 from tests.test_feedback_and_sources import NOW, bought
+from verification.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -128,3 +129,22 @@ def test_a_scope_deletes_its_own_tables_only(spark, rows):
     assert outer.count() == 1
     with pytest.raises(Exception, match="not exist|FileNotFound|PATH_NOT_FOUND"):
         inner.count()
+
+
+def test_the_log_is_joined_once_for_histories_and_counts(spark, rows, tmp_path, monkeypatch):
+    """Both sides of the neighbours come from one written log, not from a join of the tables each."""
+    lines = [(o, p) for o in range(1, 13) for p in (o % 4, (o + 1) % 3)]
+    rows(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(o, o % 3, datetime.datetime(2020, 1, o)) for o in range(1, 13)]
+    rows(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    parts = [(p, f"n{p}", "b", "ECONOMY") for p in range(4)]
+    rows(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(
+        str(tmp_path / "part.parquet")
+    )
+    seen, original = [], features.min_max_weights
+    monkeypatch.setattr(features, "min_max_weights", lambda r: seen.append(r) or original(r))
+    found = QUERIES["user_knn_history_without_self"](spark, str(tmp_path)).collect()
+    assert {r.cont_id for r in found} == {"0", "1", "2"} and all(r.cont_id != r.neighbor_id for r in found)
+    assert len(seen) == 2 and not any("lineitem" in f for side in seen for f in side.inputFiles())
