@@ -65,11 +65,12 @@ def min_max_weights(purchases: DataFrame) -> DataFrame:
 
 
 def quantity_weights(purchases: DataFrame, weight: str = "count_sq") -> DataFrame:
-    """Item weights: ``count_sq`` sums the group size over the group's rows, ``count`` does not."""
+    """Item weights: ``count_sq`` sums the group size over the group's rows, ``count`` does not. Written once, as models
+    read them many times."""
     cnt = F.col("cnt").cast("double")
     value = {"count_sq": cnt * cnt, "count": cnt}[weight]
     counts = purchase_counts(purchases, keep_nan=True)
-    return counts.select("cont_id", "prod_name", value.alias("weight"))
+    return save(counts.select("cont_id", "prod_name", value.alias("weight")), "weights")
 
 
 def row_norms(weights: DataFrame, key: str = "cont_id") -> DataFrame:

@@ -133,12 +133,16 @@ def refitted(lists: DataFrame, changed: DataFrame, base: DataFrame, k=10, id_col
     """
     changed = save(changed.select(id_col).distinct(), "changed")
     stale = renewed(lists, changed, id_col)
+
+    def part(ids, how):
+        # Each is read for the norms, the vectors and the degrees.
+        return save(base.join(ids, id_col, how), "part")
+
     fresh = cosine_neighbors(
-        base, k, base.join(stale, id_col, "left_semi"), id_col=id_col, feature_col=feature_col
+        base, k, part(stale, "left_semi"), id_col=id_col, feature_col=feature_col
     )
-    others = base.join(stale, id_col, "left_anti")
     added = cosine_neighbors(
-        base.join(changed, id_col, "left_semi"), k, others, id_col=id_col, feature_col=feature_col
+        part(changed, "left_semi"), k, part(stale, "left_anti"), id_col=id_col, feature_col=feature_col
     )
     nearest = Window.partitionBy(id_col).orderBy("dist", "neighbor_id")
     columns = [id_col, "neighbor_id", "dist"]

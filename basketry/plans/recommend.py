@@ -65,10 +65,10 @@ def customer_neighbors(
             past = past.join(train, "cont_id", "left_semi")
         base = features.min_max_weights(past)
     elif train is not None:
-        base = base.join(train, "cont_id", "left_semi")
+        base = save(base.join(train, "cont_id", "left_semi"), "base")
     queries = None if base is weights else weights
     if clients is not None:
-        queries = weights.join(clients, "cont_id", "left_semi")
+        queries = save(weights.join(clients, "cont_id", "left_semi"), "asked")
     return getattr(neighbors, f"{metric}_neighbors")(
         base, k=k, queries=queries, include_self=include_self
     )
@@ -88,10 +88,10 @@ def by_products(
     ``seed="top1"`` starts from the most bought product only, ``"all"`` from every bought product.
     ``num_recs`` keeps the first so many per customer; by default all are ranked.
     """
-    weights = save(features.quantity_weights(rows, weight), "weights")
+    weights = features.quantity_weights(rows, weight)
     mine = weights if clients is None else weights.join(clients, "cont_id", "left_semi")
     seeds = features.seed_products(mine) if seed == "top1" else mine.select("cont_id", "prod_name")
-    asked = weights.join(seeds.select("prod_name").distinct(), "prod_name", "left_semi")
+    asked = save(weights.join(seeds.select("prod_name").distinct(), "prod_name", "left_semi"), "asked")
     nearest = neighbors.cosine_neighbors(
         weights, k=k, queries=asked, id_col="prod_name", feature_col="cont_id"
     )

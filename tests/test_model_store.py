@@ -103,3 +103,21 @@ def test_a_model_that_was_broken_off_is_none(spark, rows, tmp_path):
     with pytest.raises(model_store.StaleModel):
         store.customers(data)
     assert store.customers(data, refit=True).targets.count() > 0
+
+
+def test_models_search_written_tables(spark, rows, tmp_path, monkeypatch):
+    """Weights and the parts of them that are searched after feedback are read often, so each is written once."""
+    seen, prepare = [], neighbors._prepare
+
+    def noted(metric, base, queries, *args):
+        seen.extend(side for side in (base, queries) if side is not None)
+        return prepare(metric, base, queries, *args)
+
+    monkeypatch.setattr(neighbors, "_prepare", noted)
+    store = model_store.ModelStore(spark, str(tmp_path))
+    before = store.products(rows(log(9), SCHEMA), refit=True, k=3)
+    store.products_after(before, rows(log(9)[:-3], SCHEMA), k=3)
+    assert len(seen) == 5
+    for side in seen:
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan
