@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from basketry.operators import blocked, hot_features, neighbors, postings
+from basketry.operators import block_scores, blocked, hot_features, neighbors, postings
 
 SCHEMA = "cont_id string, prod_name string, weight double"
 
@@ -343,3 +343,59 @@ def test_a_query_in_many_lists_is_added_up_once(monkeypatch):
             best = sorted((max(1 - d, 0.0), n) for n, d in enumerate(dots[i]) if d > 0)[:5]
             expected += [(i, n, 1 - dots[i, n]) for _, n in best]
         assert got == expected
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("gain", [0, 10**9])
+def test_single_precision_loses_no_neighbour(monkeypatch, metric, gain):
+    """Distances closer together than single precision can tell, and many equal ones; some pairs beyond the limit."""
+    monkeypatch.setattr(hot_features, "_DENSE_GAIN", gain)
+    rng = np.random.default_rng(5)
+
+    def side(n, first):
+        dense = 1 + rng.integers(0, 3, (n, 9)) / 3 + rng.integers(0, 4, (n, 1)) * 3e-8
+        sq = (dense**2).sum(axis=1)
+        if metric == "cosine":
+            dense, sq = dense / np.sqrt(sq)[:, None], np.ones(n)
+        row, fid = np.nonzero(dense)
+        return dense, block_scores.Vectors(first + np.arange(n), sq, row, fid, dense[row, fid])
+
+    (left, queries), (right, base) = side(150, 0), side(1100, 5000)
+    gap = (queries.sq[:, None] + base.sq) / 2 - left @ right.T
+    dist = block_scores.rounded_distance(gap, metric)
+    best = np.stack([np.lexsort((base.ids, mine))[:7] for mine in dist])
+    for limit in (None, gap[np.arange(150), best[:, -1]]):
+        scorer = block_scores.Scorer(queries, base, 7, metric, limit)
+        assert (scorer.dense is None) == (gain == 0)
+        for low in range(0, 1100, 300):
+            scorer.scan(low, min(low + 300, 1100))
+        q, n, found = scorer.nearest()
+        assert (n.reshape(150, 7) == base.ids[best]).all() and (q == np.repeat(queries.ids, 7)).all()
+        assert np.allclose(found.reshape(150, 7), np.take_along_axis(gap, best, axis=1), atol=1e-14)
+
+
+def test_a_vector_is_copied_as_one_row(rows):
+    entries = rows([(i, 1.0, f, 0.5) for i in range(6) for f in range(4)], "idx long, sq double, fid long, w double")
+    packed = blocked.packed(entries).collect()
+    assert sorted(r.idx for r in packed) == list(range(6))
+    assert all([c.fid for c in r.cells] == [0, 1, 2, 3] for r in packed)
+
+
+def test_visits_are_of_blocks(rows, monkeypatch):
+    """Vectors without clusters: most shards are visited, by a row a block, and a vector is copied once a part."""
+    monkeypatch.setattr(hot_features, "_SHARD_ROWS", 20)
+    monkeypatch.setattr(blocked, "BLOCKS", 3)
+    rng, made, score = random.Random(6), [], hot_features._score_visits
+    data = [(f"c{i:03}", f"f{f}", 1 + rng.random()) for i in range(200) for f in range(6)]
+
+    def counted(problem, facing, base_cells, visits, pivots):
+        pairs = visits.count()
+        blocks, parts = base_cells.select("block").distinct().count(), hot_features._parts(base_cells)
+        made.append((visits.columns, pairs, blocks, parts.select("part").distinct().count()))
+        return score(problem, facing, base_cells, visits, pivots)
+
+    monkeypatch.setattr(hot_features, "_score_visits", counted)
+    got = neighbors.cosine_neighbors(rows(data, SCHEMA), k=5, hot_degree=3, by="features")
+    assert result(got) == brute(data, data, "cosine", 5, True)
+    (columns, pairs, blocks, parts), = made
+    assert columns == ["q_block", "shard"] and pairs <= blocks**2 and parts <= 3 < blocks
