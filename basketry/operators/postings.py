@@ -1,11 +1,13 @@
 """Dot products over features that few ids have, complete for a query before anything leaves its task.
 
 The base ids of a feature, at most ``hot_degree`` of them, are collected as one list. A copy of the list goes to every
-query that has the feature, as arrays of numbers; a task holds all lists of its queries, adds up the products, some
+query that has the feature, packed (``Packing``), since these copies are most of what is shuffled; a task holds all lists of its queries, adds up the products, some
 queries at a time, and lets go of all but the ``keep`` nearest of each. So a pair of ids is a number in an array and
 never a row: it is neither shuffled again to be summed up nor sorted to be ranked.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,9 @@ _PAIRS_PER_TASK, _HELD = 4_000_000, 8_000_000
 #: Bits for the place of a pair and for the query in a chunk that is added up at once: with 32 for the id, 63.
 _PLACE_BITS, _QUERY_BITS = 17, 14
 
+#: Different numbers that are sent as two bytes each.
+_CODES = 1 << 16
+
 _SCORED = "q long, n long, gap double"
 
 
@@ -38,29 +43,116 @@ def posting_candidates(problem, known: dict[str, DataFrame | None], pairs: float
             rows = rows.join(known[side], "feature", "left_semi")
         return rows.repartition(tasks, "feature") if tasks > 1 else rows
 
+    packing = Packing.of(problem.base, listed[1:])
+
+    @F.arrow_udf("binary")
+    def pack(lists: pa.Array) -> pa.Array:
+        return packing.packed(lists)
+
     offered = dealt("base").groupBy("feature").agg(F.collect_list(F.struct(*listed)).alias("base"))
+    # A step of its own, before the lists are copied: Python sees each once.
+    offered = offered.select("feature", "base", pack("base").alias("packed"))
     if problem.symmetric:
-        met = offered.select("base", F.inline("base"))
+        met = offered.select("packed", F.inline("base"))
     else:
-        met = dealt("queries").select("feature", *listed).join(offered, "feature").drop("feature")
+        offered = offered.select("feature", "packed")
+        met = dealt("queries").select("feature", *listed).join(offered, "feature")
     met = met.select(
-        F.col("n").alias("q"),
-        F.col("w").alias("q_w"),
-        F.col("base.n").alias("n"),
-        F.col("base.w").alias("n_w"),
-        *([F.col("sq").alias("q_sq"), F.col("base.sq").alias("n_sq")] if euclidean else []),
+        F.col("n").alias("q"), F.col("w").alias("q_w"), *([F.col("sq").alias("q_sq")] if euclidean else []), "packed"
     )
     keep, metric = problem.keep, problem.metric
 
     def nearest(batches):
         held = _Held(keep, metric)
         for batch in batches:
-            held.add(batch)
+            held.add(packing.unpacked(batch))
         yield from held.nearest()
 
     return met.repartition(tasks, "q").mapInArrow(nearest, _SCORED)
 
 
+@dataclass(frozen=True)
+class Packing:
+    """Lists of (n, numbers) as bytes. Ids are sorted and sent as differences; numbers of which there are few are sent as
+    codes of two bytes, the frequent ones first, others as they are. A list holds the first bytes of all its values, then the
+    second ones and so on, so that those that are nearly always zero compress well."""
+
+    codes: dict[str, np.ndarray | None]  # by column: the numbers in the order of their codes
+
+    @staticmethod
+    def of(entries: DataFrame, columns) -> "Packing":
+        counted = entries.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+
+        def known(column):
+            if counted[column] > _CODES * 0.9:
+                return None
+            # Few enough by the estimate; as many as there are codes, and one, at most.
+            found = entries.groupBy(column).count().orderBy(F.desc("count"), column).limit(_CODES + 1).collect()
+            return np.array([row[0] for row in found], dtype=float) if len(found) <= _CODES else None
+
+        return Packing({c: known(c) for c in columns})
+
+    def packed(self, lists: pa.Array) -> pa.Array:
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, *numbers = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+        row = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((ids, row))
+        ids = ids[order].astype(np.int64)
+        differences = np.diff(ids, prepend=0)
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        differences[first] = ids[first]
+        planes = [_bytes(differences.astype("<u4"))]
+        for values, known in zip(numbers, self.codes.values()):
+            values = values[order]
+            if known is not None:
+                by_value = np.argsort(known)
+                values = by_value[np.searchsorted(known[by_value], values)].astype("<u2")
+            planes.append(_bytes(values))
+        planes = np.hstack(planes)
+        out = np.empty(planes.size, dtype=np.uint8)
+        for plane, at in enumerate(_places(counts, planes.shape[1])):
+            out[at] = planes[:, plane]
+        offsets = np.append(0, np.cumsum(counts * planes.shape[1])).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+    def unpacked(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The lists as columns ``n``, ``n_w`` and, if squares are sent, ``n_sq``."""
+        lists = batch.column("packed")
+        sizes = [4, *(2 if known is not None else 8 for known in self.codes.values())]
+        ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+        counts = np.diff(ends) // sum(sizes)
+        found = np.frombuffer(lists.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        planes = np.empty((counts.sum(), sum(sizes)), dtype=np.uint8)
+        for plane, at in enumerate(_places(counts, sum(sizes))):
+            planes[:, plane] = found[at]
+        parts = np.split(planes, np.cumsum(sizes)[:-1], axis=1)
+        ids = np.cumsum(np.ascontiguousarray(parts[0]).view("<u4")[:, 0].astype(np.int64))
+        # The differences run on from list to list; each starts anew.
+        starts = np.cumsum(counts) - counts
+        before = np.append(0, ids)[starts]
+        columns = {"n": (ids - np.repeat(before, counts)).astype(np.int32)}
+        for part, (name, known) in zip(parts[1:], self.codes.items()):
+            part = np.ascontiguousarray(part)
+            columns[f"n_{name}"] = part.view("<f8")[:, 0] if known is None else known[part.view("<u2")[:, 0]]
+        offsets = np.append(starts, counts.sum()).astype(np.int32)
+        rest = {c: batch.column(c) for c in batch.schema.names if c != "packed"}
+        return pa.record_batch(rest | {c: pa.ListArray.from_arrays(offsets, v) for c, v in columns.items()})
+
+
+def _bytes(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
+
+
+def _places(counts: np.ndarray, planes: int):
+    """Where each byte of the values stands in the lists, one byte of all values after the other."""
+    starts = np.cumsum(counts) - counts
+    size = np.repeat(counts, counts)
+    at = np.arange(len(size)) + np.repeat((planes - 1) * starts, counts)
+    for _ in range(planes):
+        yield at
+        at = at + size
+
+
 class _Held:
     """Lists of base ids that queries meet. A part is (key, dot) and, for Euclidean distances, half the squares' sum:
     one row a pair, in the order of the key, which is the query's number above the base id's."""

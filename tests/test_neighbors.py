@@ -399,3 +399,28 @@ def test_visits_are_of_blocks(rows, monkeypatch):
     assert result(got) == brute(data, data, "cosine", 5, True)
     (columns, pairs, blocks, parts), = made
     assert columns == ["q_block", "shard"] and pairs <= blocks**2 and parts <= 3 < blocks
+
+
+@pytest.mark.parametrize("codes", [4, 1 << 16])
+def test_packed_lists_are_the_same_lists(rows, monkeypatch, codes):
+    """Ids far apart and in any order, empty lists, slices; numbers as codes or, where there are more of them, as they are."""
+    monkeypatch.setattr(postings, "_CODES", codes)
+    rng, pa = np.random.default_rng(3), postings.pa
+    values = rng.random(20)
+    lists = [
+        [(int(n), float(rng.choice(values)), float(rng.choice(values[:3]))) for n in rng.choice(2**31 - 1, size, False)]
+        for size in (0, 5, 1, 0, 512, 40, 0)
+    ]
+    base = rows([cell for mine in lists for cell in mine], "n int, w double, sq double")
+    packing = postings.Packing.of(base, ["w", "sq"])
+    assert (packing.codes["w"] is None) == (codes == 4) and len(packing.codes["sq"]) == 3
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("w", pa.float64()), ("sq", pa.float64())]))
+    given = pa.array([[dict(zip(("n", "w", "sq"), c)) for c in mine] for mine in lists], kind)
+    packed = packing.packed(given)
+    batch = pa.record_batch({"q": pa.array(range(7)), "packed": packed})
+    for low, high in ((0, 7), (3, 6), (6, 7)):
+        got = packing.unpacked(batch.slice(low, high - low)).to_pylist()
+        assert [r["q"] for r in got] == list(range(low, high))
+        assert [list(zip(r["n"], r["n_w"], r["n_sq"])) for r in got] == [sorted(m) for m in lists[low:high]]
+    if codes > 4:
+        assert len(packed[4].as_py()) == 512 * 8
